@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, quality, tokenizer
-from palisade.llm.common import table
+from palisade.llm import decontaminate, quality, tokenizer, toxicity, warc
+from palisade.llm.common import scratch, table
 
 
 def _list_sha256(ids: Column) -> Column:
@@ -16,6 +16,12 @@ def _list_sha256(ids: Column) -> Column:
     return F.sha2(F.array_join(F.sort_array(F.transform(ids, lambda x: x.cast("string"))), ",").cast("binary"), 256)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.scored(docs, toxicity.learnt(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.scored(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -48,11 +54,16 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.round_trip(docs, *tokenizer_files()).select("doc_id", "__bpe.*")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch(spark, "warc"))
+    return out.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
 OP2_SQL = f"WITH {quality.judged_sql()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_decontamination, op6_byte_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op6_byte_bpe, op8_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
