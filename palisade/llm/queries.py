@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, quality, tokenizer, toxicity, warc
+from palisade.llm import decontaminate, html, quality, tokenizer, toxicity, warc
 from palisade.llm.common import scratch, table
 
 
@@ -54,6 +54,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.round_trip(docs, *tokenizer_files()).select("doc_id", "__bpe.*")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch(spark, "warc"))
     return out.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
@@ -63,7 +68,7 @@ OP2_SQL = f"WITH {quality.judged_sql()} SELECT doc_id, n_words, word_chars, n_sy
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op6_byte_bpe, op8_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op6_byte_bpe, op7_main_text, op8_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
