@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, html, quality, tokenizer, toxicity, warc
-from palisade.llm.common import scratch, table
+from palisade.llm import decontaminate, html, quality, simhash, tokenizer, toxicity, warc
+from palisade.llm.common import bounded_batches, scratch, stored, table
 
 
 def _list_sha256(ids: Column) -> Column:
@@ -42,6 +42,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    rows = stored(docs.select("doc_id", simhash.fingerprints(F.col("text")).alias("fp")), "rows")
+    return simhash.grouped(rows).select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def tokenizer_files() -> tuple[str, str]:
     """The vocabulary and the pattern that op6 and the pipeline use."""
     import public_tokenizers
@@ -68,7 +75,7 @@ OP2_SQL = f"WITH {quality.judged_sql()} SELECT doc_id, n_words, word_chars, n_sy
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op6_byte_bpe, op7_main_text, op8_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op5_simhash, op6_byte_bpe, op7_main_text, op8_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -85,21 +85,20 @@ def _logits(bias: float, weight: np.ndarray, factors: np.ndarray, flat: np.ndarr
     return bias + linear + 0.5 * ((sums * sums).sum(1) - squares), sums
 
 
-def fitted(rows: list[list[int]], toxic: list[int]) -> Machine:
-    """A machine for rows of features and their labels."""
-    y = np.array(toxic, float)
+def fitted(flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray) -> Machine:
+    """A machine for rows of features (all in one array, and how many each row has) and their labels."""
+    y = toxic.astype(float)
     row = np.zeros(SLOTS, np.int64)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
         return Machine(float("-inf") if share == 0 else float("inf"), row, np.zeros(1), np.zeros((1, FACTORS)))
-    flat = np.fromiter(chain.from_iterable(rows), np.int64)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    of = np.repeat(np.arange(len(y)), sizes)
     have, toxic_have = np.bincount(flat, minlength=SLOTS), np.bincount(flat, y[of], SLOTS)
     spread = have * share * (1 - share) * (1 - have / len(y))
     used = np.flatnonzero((have >= MIN_ROWS) & ((toxic_have - have * share) ** 2 >= CHI * spread))
     row[used] = np.arange(1, len(used) + 1)
     of, flat = of[row[flat] > 0], row[flat][row[flat] > 0]
-    starts = np.searchsorted(of, np.arange(len(rows) + 1))
+    starts = np.searchsorted(of, np.arange(len(y) + 1))
     rng = np.random.default_rng(SEED)
     n = len(used) + 1
     weight, factors = np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
@@ -107,8 +106,8 @@ def fitted(rows: list[list[int]], toxic: list[int]) -> Machine:
     bias = float(np.log(share / (1 - share)))
     seen_w, seen_v = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2)
     for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for part in np.array_split(order, max(1, len(rows) // BATCH)):
+        order = rng.permutation(len(y))
+        for part in np.array_split(order, max(1, len(y) // BATCH)):
             sizes = starts[part + 1] - starts[part]
             local = np.repeat(np.arange(len(part)), sizes)
             at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts[part], sizes)
@@ -152,8 +151,9 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
 
 def learnt(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     bounded_batches(docs.sparkSession)
-    got = sample(docs, labels, rows).toArrow()
-    return fitted(got["features"].to_pylist(), got["toxic"].to_pylist())
+    got = sample(docs, labels, rows).toArrow().combine_chunks()
+    features = pa.concat_arrays(got["features"].chunks) if len(got) else pa.array([], pa.list_(pa.int32()))
+    return fitted(features.flatten().to_numpy(), np.diff(features.offsets.to_numpy()), got["toxic"].to_numpy())
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
