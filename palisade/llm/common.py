@@ -43,7 +43,7 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends here."""
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, html, quality, simhash, tokenizer, toxicity, warc
+from palisade.llm import decontaminate, html, quality, relative_lz, simhash, suffix_dedup, tokenizer, toxicity, warc
 from palisade.llm.common import bounded_batches, scratch, stored, table
 
 
@@ -71,11 +71,21 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = relative_lz.parsed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", relative_lz.digest().alias("x")).select("doc_id", "x.*")
+
+
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", suffix_dedup.digest().alias("x")).select("doc_id", "x.*")
+
+
 OP2_SQL = f"WITH {quality.judged_sql()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op5_simhash, op6_byte_bpe, op7_main_text, op8_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op5_simhash, op6_byte_bpe, op7_main_text, op8_warc, op9_substrings, op10_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
