@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, html, quality, relative_lz, simhash, suffix_dedup, tokenizer, toxicity, warc
+from palisade.llm import decontaminate, html, line_dedup, quality, relative_lz, simhash, suffix_dedup, tokenizer, toxicity, warc
 from palisade.llm.common import bounded_batches, scratch, stored, table
 
 
@@ -42,6 +42,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", line_dedup.digest().alias("x")).select("doc_id", "x.*")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
@@ -85,7 +90,7 @@ OP2_SQL = f"WITH {quality.judged_sql()} SELECT doc_id, n_words, word_chars, n_sy
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op5_simhash, op6_byte_bpe, op7_main_text, op8_warc, op9_substrings, op10_suffixes)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op4_line_chunks, op5_simhash, op6_byte_bpe, op7_main_text, op8_warc, op9_substrings, op10_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -196,15 +196,13 @@ def doc_key(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), text_key(F.col("text")).alias("th")]
 
 
-def repeated(docs: DataFrame, symbols: Symbols) -> DataFrame:
-    """range, hashes: the hashes of anchors that occur more than once, packed."""
+def repeated(docs: DataFrame, hashes: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
+    """range, hashes: of the 64-bit hashes that ``hashes`` finds in texts, those that occur more than once, packed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(v, e, symbols.window, symbols.gram).hash for v, e, *_ in symbols.pieces(_bytes(batch.column(0)))]
-            if not found:
-                continue
-            h = np.sort(np.concatenate(found))
+            found = hashes(_bytes(batch.column(0)))
+            h = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
             if len(h):
                 cut = np.searchsorted(h, np.arange(RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1))
                 parts = [x.tobytes() for x in np.split(h, cut[1:])]
@@ -221,7 +219,7 @@ def repeated(docs: DataFrame, symbols: Symbols) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([twice.tobytes()], pa.binary())], ["range", "hashes"])
 
     packed = docs.select("text").mapInArrow(count, "range int, hashes binary").filter(F.octet_length("hashes") > 0)
-    return stored(packed.repartition("range").mapInArrow(again, "range int, hashes binary"), "anchors")
+    return stored(packed.repartition("range").mapInArrow(again, "range int, hashes binary"), "hashes")
 
 
 def bit_filter(found: DataFrame) -> np.ndarray:
@@ -355,7 +353,7 @@ def spans(docs: DataFrame, symbols: Symbols, resolve: Resolve, all_copies: bool)
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
-    bits = bit_filter(repeated(docs, symbols))
+    bits = bit_filter(repeated(docs, lambda texts: [anchors(v, e, symbols.window, symbols.gram).hash for v, e, *_ in symbols.pieces(texts)]))
     seen = stored(occurrences(docs, symbols, bits), "occurrences")
     judged = stored(verdicts(blocks(seen), resolve), "verdicts")
     v = judged.select("g", "c1", "c2", "n", "runs", F.struct("did", "th", "at").alias("ref"))
