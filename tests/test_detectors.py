@@ -91,7 +91,7 @@ def test_dns_tunnel(spark):
     assert dns(spark, range(7), tunnel) == []
     [r] = dns(spark, range(0, 8000, 1000), tunnel)
     assert r.window_end.timestamp() - r.window_start.timestamp() == 60
-    assert dns(spark, range(8), tunnel, DnsModel(2.0, 0.6153)) == []
+    assert dns(spark, range(8), tunnel, DnsModel(2.0, 0.75)) == []
     assert dns(spark, range(8), tunnel, DnsModel(2.0, 0.0)) == []
     assert dns(spark, range(8), tunnel, DnsModel(0.0, 0.1))[0].score == 1.0
     assert dns(spark, [0] * 4 + [60_000] * 4, tunnel) == []  # the second four open a window
