@@ -83,7 +83,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     seen = stored(docs.select(*doc_key(docs), "text").mapInArrow(send, SENT), "chunks")
     groups = seen.groupBy("h", "chunk").agg(F.min(F.struct("did", "th", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "chunk", "first")
-    later = seen.join(groups, ["h", "chunk"]).filter(F.struct("did", "th", "line") != F.col("first"))
+    groups = stored(groups, "first_chunks")  # both sides of the join are read: rows of a hot chunk can be split
+    later = seen.join(groups.hint("merge"), ["h", "chunk"]).filter(F.struct("did", "th", "line") != F.col("first"))
     return stored(later.groupBy("did", "th").agg(F.sort_array(F.collect_set(F.struct("line", "lines"))).alias("gone")), "gone")
 
 
@@ -92,7 +93,8 @@ def marked(docs: DataFrame) -> DataFrame:
     found = repeats(docs.select("doc_id", "text"))
     did, th = doc_key(docs)
     gone = found.select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    return docs.join(gone, (did == F.col("__did")) & (th == F.col("__th")), "left").drop("__did", "__th")
+    # always a merge join: the plan, and what it shuffles, is the same at every size
+    return docs.join(gone.hint("merge"), (did == F.col("__did")) & (th == F.col("__th")), "left").drop("__did", "__th")
 
 
 def without(text: str, gone: list[dict] | None) -> tuple[int, list[str]]:
