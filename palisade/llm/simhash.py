@@ -279,4 +279,5 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE)
     groups = grouped(whole.select("doc_id", "fp", "rid"), radius)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x"))
     kept = stored(first.select(F.col("x.rid").alias("__rid")), "kept")
-    return whole.join(kept, whole["rid"] == kept["__rid"], "left_semi").select("__row.*")
+    # always a merge join: the plan, and what it shuffles, is the same at every size
+    return whole.join(kept.hint("merge"), whole["rid"] == kept["__rid"], "left_semi").select("__row.*")
