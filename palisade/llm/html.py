@@ -8,7 +8,7 @@ occurrences lies in a slot of it. What lies between template tokens are slots. F
 any size, a vector is kept as its number of pages, its sum, and two sums of hashes of (page, count), which add up
 across partitions and are equal if the vectors are.
 
-A slot is named by the deepest template element around it. A slot's role follows from the elements on its path:
+A slot is named by the path of elements around it. A slot's role follows from the elements on its path:
 menus, headers, footers, sidebars, notices, adverts, forms, comments of readers are boilerplate by element, ARIA role or by a
 word of the class or id. If a page marks its article, the main text is what the article's slots hold. Otherwise slots whose text is
 the same on most of the host's pages are template too, and the text of the remaining ones is taken.
@@ -72,14 +72,15 @@ MAIN_NAMES = frozenset("article content post entry story main".split())
 
 
 class Page:
-    """blocks: (path, is it boilerplate, how surely is it in the article, text) in page order.
+    """blocks: (path, how surely it is in the article, text) of what isn't boilerplate, in page order.
 
     Boilerplate: 0 no, 1 in the header of an article, whose headings aren't, 2 yes. Article: 0 no, 1 by name, 2 by element or role."""
 
     def __init__(self, html: str | None) -> None:
-        self.blocks: list[tuple[str, int, int, str]] = []
+        self.blocks: list[tuple[str, int, str]] = []
         self.tokens: Counter[str] = Counter()
         self.text: list[str] = []
+        self.place = ("", 0)  # path and article of the block at hand
         # (tag, path, boilerplate, main) of the open elements
         self.open: list[tuple[str, str, int, int]] = [("", "", 0, 0)]
         self.count: Counter[str] = Counter()
@@ -90,22 +91,28 @@ class Page:
         if self.text:
             text = "".join(self.text)
             if text := " ".join((unescape(text) if "&" in text else text).split()):
-                _, path, boilerplate, main = self.open[-1]
-                self.blocks.append((path, boilerplate, main, text))
+                self.blocks.append((*self.place, text))
             self.text = []
 
+    def add(self, text: str) -> None:
+        _, path, boilerplate, main = self.open[-1]
+        if not boilerplate:
+            if not self.text:
+                self.place = (path, main)
+            self.text.append(text)
+
     def read(self, html: str) -> None:
         at, scan, last = 0, TOKEN.match, html.rfind(">")
         while at < len(html):
             if at > last:  # a tag or comment that begins here never ends
-                self.text.append(UNENDED.split(html[at:], 1)[0])
+                self.add(UNENDED.split(html[at:], 1)[0])
                 return
             m = scan(html, at)
             at = m.end()
             tag = m[2]
             if tag is None:
                 if (c := m[0])[0] != "<" or len(c) == 1:
-                    self.text.append(c)
+                    self.add(c)
                 continue
             tag = tag.lower()
             if m[1]:
@@ -117,7 +124,7 @@ class Page:
                     at = end.start() if end else len(html)
 
     def pop(self, to: int) -> None:
-        if any(x[0] in BLOCKS for x in self.open[to:]):
+        if any(x[0] in BLOCKS and not self.open[to + i - 1][2] for i, x in enumerate(self.open[to:])):
             self.flush()
         self.count.subtract(x[0] for x in self.open[to:])
         del self.open[to:]
@@ -129,10 +136,10 @@ class Page:
             self.close(*ENDS[tag])
         if tag in HEADINGS:
             self.close(HEADINGS, {"table"})
-        if tag in BLOCKS:
+        if tag in BLOCKS and not self.open[-1][2]:
             self.flush()
         elif tag == "br":
-            self.text.append(" ")
+            self.add(" ")
         _, path, boilerplate, main = self.open[-1]
         name, bad, good = described(tag, attributes.rstrip("/"))
         if len(self.open) <= DEPTH:
@@ -157,7 +164,7 @@ class Page:
                 return
 
     def end(self, tag: str) -> None:
-        if tag in BLOCKS:
+        if tag in BLOCKS and not self.open[-1][2]:
             self.flush()
         for i in range(len(self.open) - 1, 0, -1) if self.count[tag] else ():
             if self.open[i][0] == tag:
@@ -191,20 +198,9 @@ def described(tag: str, attributes: str) -> tuple[str, int, int]:
 
 def main_text(page: Page, template: dict | None = None) -> str:
     """The blocks of a page that are its main text. template: as in ``templates``."""
-    sure = max((main for _, boilerplate, main, _ in page.blocks if not boilerplate), default=0)
-    constant = frozenset(template["constant"]) if template and not sure else frozenset()
-    kept = [(path, text) for path, boilerplate, main, text in page.blocks if not boilerplate and main >= sure]
-    if template and not sure:
-        skeleton = frozenset(template["skeleton"])
-        kept = [(p, t) for p, t in kept if token_of(slot(p, skeleton), t) not in constant]
-    return "\n\n".join(t for _, t in kept)
-
-
-def slot(path: str, skeleton: frozenset[str]) -> str:
-    """The deepest template element around a path."""
-    while path and path not in skeleton:
-        path = path.rpartition("/")[0]
-    return path
+    sure = max((main for _, main, _ in page.blocks), default=0)
+    constant = frozenset(template["constant"]) if template and not sure else ()
+    return "\n\n".join(text for path, main, text in page.blocks if main >= sure and (not constant or token_of(path, text) not in constant))
 
 
 def token_of(path: str, text: str) -> str:
@@ -220,8 +216,8 @@ def occurrences(html: str | None) -> list[dict]:
     raw = (html or "").encode("utf-8", "surrogatepass")
     a, b = crc32(raw), crc32(raw[::-1])
     out = [{"token": t, "n": n, "a": a * n % 2147483629, "b": b * n % 2147483587, "text": False} for t, n in page.tokens.items()]
-    if not any(main for _, boilerplate, main, _ in page.blocks if not boilerplate):
-        texts = Counter(token_of(p, t) for p, boilerplate, _, t in page.blocks if not boilerplate)
+    if not any(main for _, main, _ in page.blocks):
+        texts = Counter(token_of(p, t) for p, _, t in page.blocks)
         out += [{"token": t, "n": n, "a": 0, "b": 0, "text": True} for t, n in texts.items()]
     return out
 

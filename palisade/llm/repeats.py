@@ -170,7 +170,7 @@ class Symbols:
                 s, e = np.maximum(begin[lo:hi], a) - a, np.minimum(end[lo:hi], b) - a
                 part = (p[e] - p[s]) * powers(PIECE * 2)[1][s]
                 if begin[lo] < a:  # a word that began in the piece before
-                    part[0] = part[0] * np.uint64(pow(BASE, int(a - begin[lo]), 1 << 64)) + values[lo]
+                    part[:1] = part[:1] * np.uint64(pow(BASE, int(a - begin[lo]), 1 << 64)) + values[lo : lo + 1]
                 values[lo:hi] = part
             values = mixed(values + (end - begin).astype(np.uint64), 0x94D049BB133111EB)
         return values, begin, end

@@ -7,9 +7,12 @@ the table says are revisits are not written again.
 Reading: partitions are runs of whole records, planned from the manifest (without one, each file is a partition).
 Predicates on record_type, record_id, target_uri, payload_digest and refers_to are pushed down: a record's headers are
 parsed first, and only if they match (and payloads are wanted) is its payload decoded, and checked against its digest.
+They are given to ``read``, or as options, as values in a JSON list. With the option pushdown (and
+spark.sql.python.filterPushdown.enabled) Spark hands over a query's own filters, too; but a DataFrame of Spark 4.1 keeps those of its
+last query if the next one has none, so that each query must then load the source anew. ``read`` does without that.
 
-Options: path (a URI or local path that all executors reach), payload (true: decode payloads), date (of written
-records), split_bytes (archive bytes of a partition).
+Options: path (a URI or local path that all executors reach), payload (true: decode payloads), the columns above, date
+(of written records), split_bytes (archive bytes of a partition).
 
 ``pages``: null html counts as empty. Of records with equal payloads, those with the smallest page_id are responses
 and the others revisit it; so equal rows of that page_id are all responses, as are rows if all page_ids of a payload are null.
@@ -148,16 +151,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"].rstrip("/")
         self.payload = str(options.get("payload", "true")).lower() != "false"
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
-        self.wanted: dict[str, set[str]] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            name = getattr(f, "attribute", ("",))[0]
-            if isinstance(f, EqualTo | In) and name in PUSHED:
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.wanted[name] = self.wanted.get(name, values) & values
-            elif not (isinstance(f, IsNotNull) and name in ("record_type", "record_id")):
-                yield f
+        self.wanted: dict[str, set[str]] = {k: set(json.loads(options[k])) for k in PUSHED if k in options}
 
     def partitions(self) -> list[InputPartition]:
         store, path = place(self.path)
@@ -222,6 +216,19 @@ class WarcReader(DataSourceReader):
         return values["record_id"], values["record_type"], values["target_uri"], n, digest, values["refers_to"], payload
 
 
+class PushingReader(WarcReader):
+    """Takes a query's own filters, too."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            name = getattr(f, "attribute", ("",))[0]
+            if isinstance(f, EqualTo | In) and name in PUSHED:
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.wanted[name] = self.wanted.get(name, values) & values
+            elif not (isinstance(f, IsNotNull) and name in ("record_type", "record_id")):
+                yield f
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[dict] = field(default_factory=list)
@@ -274,7 +281,7 @@ class Warc(DataSource):
         return READ
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(self.options)
+        return (PushingReader if str(self.options.get("pushdown", "false")).lower() == "true" else WarcReader)(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options)
@@ -282,7 +289,15 @@ class Warc(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Warc)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def read(spark: SparkSession, path: str, payload: bool = True, split_bytes: int = SPLIT_BYTES, **wanted: list[str]) -> DataFrame:
+    """The records of archives whose columns have one of the values wanted, such as record_type=["revisit"]."""
+    if unknown := set(wanted) - set(PUSHED):
+        raise ValueError(f"no predicate on {sorted(unknown)} can be pushed down")
+    register(spark)
+    options = {"path": path, "payload": str(payload).lower(), "split_bytes": str(split_bytes)}
+    return spark.read.format("warc").options(**options, **{k: json.dumps(list(v)) for k, v in wanted.items()}).load()
 
 
 def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -310,7 +325,7 @@ def archived(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
     register(spark)
     bounded_batches(spark)
     records(pages, least_bytes).write.format("warc").mode("append").option("path", path).save()
-    return spark.read.format("warc").option("path", path).load()
+    return read(spark, path)
 
 
 def page_of(record: str) -> Column:
