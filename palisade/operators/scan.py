@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.workers import findable
+
 
 def picked(rows: DataFrame, keys: list[str], at: str, need: str, order: list[str] | None = None) -> DataFrame:
     """``rows`` and the column ``last``: the value of ``at`` of the last row picked, up to and with this one.
@@ -17,6 +19,7 @@ def picked(rows: DataFrame, keys: list[str], at: str, need: str, order: list[str
 
     The rows of a key go by in sorted batches and only the last pick is kept, so that memory doesn't grow with a key;
     a frame over (OVER ...) can't express it, and gathering a key's rows in an array would."""
+    findable(rows.sparkSession)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, last bigint, picked boolean"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ from palisade.plans.warehouse import rollup_partials
 from palisade.schemas import ALERT, EVENT, names
 from palisade.sources import files
 from palisade.streaming.processors import KEY, WATCHED, WRITTEN, Detectors
+from palisade.workers import findable
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -46,6 +47,7 @@ def watched(events: DataFrame, delay: str = "30 seconds") -> DataFrame:
 
 def detected(events: DataFrame, detectors: Detectors | None = None, delay: str = "30 seconds") -> DataFrame:
     """Alerts and late auth events (WRITTEN) of a stream of events."""
+    findable(events.sparkSession)
     rows = watched(events, delay).groupBy(*KEY)
     return rows.transformWithState(statefulProcessor=detectors or Detectors(), outputStructType=WRITTEN, outputMode="Append", timeMode="EventTime")
 
