@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.workers import findable
+
 #: Rows in an Arrow batch. Whole texts are passed, so that the default of 10,000 rows could take gigabytes.
 BATCH_ROWS = 500
 
@@ -55,7 +57,8 @@ def drop_stored(spark: SparkSession, path: str) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let a Python worker get no more than BATCH_ROWS whole texts at once."""
+    """Let a Python worker find this package, and get no more than BATCH_ROWS whole texts at once."""
+    findable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

@@ -38,6 +38,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from palisade.llm.common import bounded_batches, stored
+from palisade.workers import findable
 
 #: What the source reads. A revisit has no payload; payload_bytes and payload_digest are those of the full one.
 READ = "record_id string, record_type string, target_uri string, payload_bytes bigint, payload_digest string, refers_to string, payload binary"
@@ -288,6 +289,7 @@ class Warc(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    findable(spark)
     spark.dataSource.register(Warc)
 
 
