@@ -42,11 +42,21 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/palisade-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting for deleting a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends here."""
-    path = scratch(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read again: its lineage ends here, and its shuffle files go."""
+    spark = df.sparkSession
+    path = scratch(spark, tag)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(spark: SparkSession, path: str) -> None:
