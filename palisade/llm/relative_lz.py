@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.repeats import Symbols, mixed, spans, with_spans
+from palisade.llm.repeats import CROWD, Symbols, mixed, spans, with_spans
 from palisade.llm.suffix_dedup import merged
 from palisade.llm.suffixes import Block, runs
 
@@ -71,9 +71,9 @@ def repeating(group: np.ndarray, rows: pa.Table, symbols: Symbols = WORDS) -> li
     return runs(*np.nonzero(hit), len(n), anchor)
 
 
-def parsed(docs: DataFrame, symbols: Symbols = WORDS) -> DataFrame:
+def parsed(docs: DataFrame, symbols: Symbols = WORDS, crowd: int = CROWD) -> DataFrame:
     """``docs`` and ``__spans``: of each text the factors (in words) that occur elsewhere, with where; they may overlap."""
-    return with_spans(docs, spans(docs, symbols, lambda group, rows: repeating(group, rows, symbols), all_copies=True))
+    return with_spans(docs, spans(docs, symbols, lambda group, rows: repeating(group, rows, symbols), all_copies=True, crowd=crowd))
 
 
 def cut(text: str | None, found: list[dict] | None) -> tuple[int, list[bytes]]:

@@ -301,8 +301,10 @@ def occurrences(docs: DataFrame, symbols: Symbols, bits: np.ndarray) -> DataFram
 BLOCK = "g bigint, c1 bigint, c2 bigint, n bigint, did bigint, th bigint, at bigint, before int, after int, context binary"
 #: Which windows of a context repeat: starts relative to the anchor, from and to (inclusive).
 VERDICT = "g bigint, c1 bigint, c2 bigint, did bigint, th bigint, at bigint, n bigint, runs array<struct<first: int, last: int>>"
-#: Contexts that a task resolves at once; a block isn't parted.
+#: Contexts that a task resolves at once.
 ROWS = 20_000
+#: Contexts of a block from which on its windows are dealt out one by one.
+CROWD = 50_000
 
 Resolve = Callable[[np.ndarray, pa.Table], list[list[dict]]]
 
@@ -314,8 +316,47 @@ def blocks(seen: DataFrame) -> DataFrame:
     return got.select("g", "c1", "c2", "n", "x.did", "x.th", "x.at", "before", "after", "context")
 
 
-def verdicts(found: DataFrame, resolve: Resolve) -> DataFrame:
-    """VERDICT for each context of a block that has several, or one that occurs again."""
+def verdicts(found: DataFrame, symbols: Symbols, resolve: Resolve, all_copies: bool, crowd: int = CROWD) -> DataFrame:
+    """VERDICT for each context of a block (``found`` is stored) that has several, or one that occurs again.
+
+    A block of more than ``crowd`` contexts, whose anchor is in a passage with very many surroundings, would burden one task;
+    its windows go by themselves, see ``window_verdicts``."""
+    crowded = stored(found.groupBy("g").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > crowd).select("g"), "crowded")
+    if crowded.isEmpty():
+        return block_verdicts(found, resolve)
+    usual, large = found.join(crowded, "g", "left_anti"), found.join(crowded, "g", "left_semi")
+    return block_verdicts(usual, resolve).unionByName(window_verdicts(large, symbols, all_copies))
+
+
+def window_verdicts(found: DataFrame, symbols: Symbols, all_copies: bool) -> DataFrame:
+    """The same by a row for each window: equal windows of a block are grouped by place and a 128-bit hash, combining before the shuffle."""
+    own = "g bigint, c1 bigint, c2 bigint, did bigint, th bigint, at bigint, n bigint"
+    names = [x.split()[0] for x in own.split(", ")]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, place, digests = [], [], []
+            for i, (context, before) in enumerate(zip(batch["context"].to_pylist(), batch["before"].to_pylist(), strict=True)):
+                parts = context.split(b" ") if symbols.by_word else context
+                for s in range(len(parts) - symbols.window + 1):
+                    part = parts[s : s + symbols.window]
+                    digests.append(xxhash.xxh3_128_digest(b" ".join(part) if symbols.by_word else part))
+                    row.append(i)
+                    place.append(s - before)
+            w = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(row, pa.int64())) for c in names), pa.array(place, pa.int32()), pa.array(w[:, 0]), pa.array(w[:, 1])], [*names, "place", "w1", "w2"])
+
+    windows = stored(found.mapInArrow(split, f"{own}, place int, w1 bigint, w2 bigint"), "windows")
+    key = ["g", "place", "w1", "w2"]
+    least = windows.groupBy(*key).agg(F.min(F.struct("did", "th", "at")).alias("least"), F.count("*").alias("contexts")).filter("contexts > 1").select(*key, "least")
+    again = windows.join(least, key, "left")
+    hit = F.col("least").isNotNull() if all_copies else F.col("least").isNotNull() & (F.struct("did", "th", "at") != F.col("least"))
+    run = F.when(hit, F.struct(F.col("place").alias("first"), F.col("place").alias("last")))
+    return again.groupBy(*names).agg(F.sort_array(F.collect_set(run)).alias("runs"))
+
+
+def block_verdicts(found: DataFrame, resolve: Resolve) -> DataFrame:
+    """VERDICT by ``resolve``, a block in a task."""
     names = [x.split()[0] for x in VERDICT.replace(": ", ":").split(", ") if " " in x]
     kinds = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
@@ -345,7 +386,7 @@ def verdicts(found: DataFrame, resolve: Resolve) -> DataFrame:
     return found.repartition("g").sortWithinPartitions("g").mapInArrow(work, VERDICT)
 
 
-def spans(docs: DataFrame, symbols: Symbols, resolve: Resolve, all_copies: bool) -> DataFrame:
+def spans(docs: DataFrame, symbols: Symbols, resolve: Resolve, all_copies: bool, crowd: int = CROWD) -> DataFrame:
     """did, th, spans: of each text with repeated windows, spans of symbols that these cover, with where the first occurrence is.
 
     A context that occurs n > 1 times repeats with all its windows; all_copies tells if that holds for its earliest
@@ -355,7 +396,7 @@ def spans(docs: DataFrame, symbols: Symbols, resolve: Resolve, all_copies: bool)
     docs = docs.select("doc_id", "text")
     bits = bit_filter(repeated(docs, lambda texts: [anchors(v, e, symbols.window, symbols.gram).hash for v, e, *_ in symbols.pieces(texts)]))
     seen = stored(occurrences(docs, symbols, bits), "occurrences")
-    judged = stored(verdicts(blocks(seen), resolve), "verdicts")
+    judged = stored(verdicts(stored(blocks(seen), "blocks"), symbols, resolve, all_copies, crowd), "verdicts")
     v = judged.select("g", "c1", "c2", "n", "runs", F.struct("did", "th", "at").alias("ref"))
     joined = seen.drop("context").join(v, ["g", "c1", "c2"])
     whole = F.array(F.struct((-F.col("before")).alias("first"), (F.col("after") - symbols.window).alias("last")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.repeats import Symbols, byte_values, spans, with_spans
+from palisade.llm.repeats import CROWD, Symbols, byte_values, spans, with_spans
 from palisade.llm.suffixes import Block, runs
 
 WINDOW, GRAM = 100, 32
@@ -70,9 +70,9 @@ def cut(text: str | None, found: list[dict] | None) -> tuple[bytes, bytes, list[
     return raw, b"".join([*kept, raw[at:]]), gone
 
 
-def removed(docs: DataFrame, symbols: Symbols = BYTES) -> DataFrame:
+def removed(docs: DataFrame, symbols: Symbols = BYTES, crowd: int = CROWD) -> DataFrame:
     """``docs`` and ``__spans``: of each text the spans (in bytes) that repeat earlier ones, with where; they may overlap."""
-    return with_spans(docs, spans(docs, symbols, lambda group, rows: later(group, rows, symbols), all_copies=False))
+    return with_spans(docs, spans(docs, symbols, lambda group, rows: later(group, rows, symbols), all_copies=False, crowd=crowd))
 
 
 def kept_bytes() -> Column:

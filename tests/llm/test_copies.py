@@ -182,12 +182,12 @@ def slow_bytes(docs, window):
     return out
 
 
-def by_words(docs, symbols):
-    return sorted((tuple(r) for r in relative_lz.parsed(docs, symbols).select("doc_id", relative_lz.digest().alias("x")).select("doc_id", "x.*").collect()), key=repr)
+def by_words(docs, symbols, crowd=repeats.CROWD):
+    return sorted((tuple(r) for r in relative_lz.parsed(docs, symbols, crowd).select("doc_id", relative_lz.digest().alias("x")).select("doc_id", "x.*").collect()), key=repr)
 
 
-def by_bytes(docs, symbols):
-    return sorted((tuple(r) for r in suffix_dedup.removed(docs, symbols).select("doc_id", suffix_dedup.digest().alias("x")).select("doc_id", "x.*").collect()), key=repr)
+def by_bytes(docs, symbols, crowd=repeats.CROWD):
+    return sorted((tuple(r) for r in suffix_dedup.removed(docs, symbols, crowd).select("doc_id", suffix_dedup.digest().alias("x")).select("doc_id", "x.*").collect()), key=repr)
 
 
 def test_op9_by_brute_force(spark):
@@ -202,15 +202,15 @@ def test_op10_by_brute_force(spark):
     assert sum(x[2] for x in expected) > 0
 
 
-@pytest.mark.parametrize(("window", "gram", "words"), [(5, 2, 3), (4, 4, 4), (7, 1, 12), (12, 5, 2)])
-def test_short_windows(spark, monkeypatch, window, gram, words):
+@pytest.mark.parametrize(("window", "gram", "words", "crowd"), [(5, 2, 3, 4), (5, 2, 3, 50_000), (4, 4, 4, 50_000), (7, 1, 12, 1), (12, 5, 2, 50_000)])
+def test_short_windows(spark, window, gram, words, crowd):
     """Much repetition, windows that overlap themselves, texts in many pieces."""
     rows = list(enumerate(texts(window, 60, words)))
     rows += [(60, "w0 " * 90), (61, "w1 w0 " * 50), (62, None), (63, ""), (63, "w1 w2 w0 " * 9), (63, "w1 w2 w0 " * 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert by_words(docs, repeats.Symbols(window, gram, True)) == sorted(slow_words(rows, window), key=repr)
+    assert by_words(docs, repeats.Symbols(window, gram, True), crowd) == sorted(slow_words(rows, window), key=repr)
     # rows of one doc_id go by a hash of the text: only equal ones here
-    assert by_bytes(docs.filter("doc_id <> 63 OR text <> ''"), repeats.Symbols(window, gram, False)) == sorted(slow_bytes([r for r in rows if r != (63, "")], window), key=repr)
+    assert by_bytes(docs.filter("doc_id <> 63 OR text <> ''"), repeats.Symbols(window, gram, False), crowd) == sorted(slow_bytes([r for r in rows if r != (63, "")], window), key=repr)
 
 
 def test_pieces_of_long_texts(monkeypatch):
