@@ -2,39 +2,64 @@
 passages, as byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet, which the next stage reads.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``. As a stage's result is written before the next one begins, that
+one's first step is to delete the tables which the stage before has stored on its way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import decontaminate, line_dedup, quality, simhash, tokenizer
-from palisade.llm.common import stored, table
+from palisade.llm.common import created, drop_stored, stored, table
 from palisade.llm.queries import tokenizer_files
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_of_last_stage: list[str] = []
+
+
+def stage(f: Stage) -> Stage:
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _of_last_stage:
+            drop_stored(spark, _of_last_stage.pop())
+        before = len(created)
+        out = f(spark, docs, sf_dir)
+        _of_last_stage.extend(created[before:])
+        return out
+
+    return run_stage
+
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules go."""
     return quality.filtered(docs)
 
 
+@stage
 def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines that an earlier document has go from the texts."""
     return line_dedup.deduplicated(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest doc_id."""
     return simhash.deduplicated(docs)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, their number and digest, and the digest of what they decode to."""
     path, pattern = tokenizer_files()
@@ -56,6 +81,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for name, f in STAGES:
+        docs = stored(f(spark, docs, sf_dir), name)
     return docs

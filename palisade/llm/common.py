@@ -21,6 +21,8 @@ from palisade.workers import findable
 BATCH_ROWS = 500
 
 _own: dict[str, str] = {}
+#: Paths of the tables that this process has stored.
+created: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A path for a new table in the shared folder."""
-    return f"{shared_dir(spark)}/palisade-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    created.append(f"{shared_dir(spark)}/palisade-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}")
+    return created[-1]
 
 
 #: Spark's setting for deleting a query's shuffle files when it ends.
