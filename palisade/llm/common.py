@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +71,15 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def only_last(spark: SparkSession) -> Iterator[None]:
+    """Of the tables stored within, all but the last are deleted at the end."""
+    before = len(created)
+    yield
+    for path in created[before:-1]:
+        drop_stored(spark, path)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Let a Python worker find this package, and get no more than BATCH_ROWS whole texts at once."""
     findable(spark)
