@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, html, line_dedup, quality, relative_lz, simhash, suffix_dedup, tokenizer, toxicity, warc
+from palisade.llm import decontaminate, html, line_dedup, quality, relative_lz, simhash, sql, suffix_dedup, tokenizer, toxicity, warc
 from palisade.llm.common import bounded_batches, scratch, stored, table
 
 
@@ -86,12 +86,9 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", suffix_dedup.digest().alias("x")).select("doc_id", "x.*")
 
 
-OP2_SQL = f"WITH {quality.judged_sql()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_decontamination, op4_line_chunks, op5_simhash, op6_byte_bpe, op7_main_text, op8_warc, op9_substrings, op10_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL}
+    return {"op2_quality_rules": sql.OP2, "op3_decontamination": sql.OP3, "op8_warc": sql.OP8, "op9_substrings": sql.OP9, "op10_suffixes": sql.OP10}

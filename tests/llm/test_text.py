@@ -21,8 +21,9 @@ PATH, PATTERN = queries.tokenizer_files()
 # Quality rules
 
 
-def test_op2_equals_sql(spark):
-    assert same(spark, queries.op2_quality_rules, queries.OP2_SQL) > 0
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_sql(spark, name):
+    assert same(spark, queries.queries()[name], queries.oracle_sql()[name]) > 0
 
 
 def slow_measures(text):
