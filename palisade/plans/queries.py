@@ -27,7 +27,10 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.raw_feed(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    # a small table is one file, and so one task; making and parsing its lines is work for all cores
+    cores = spark.sparkContext.defaultParallelism
+    return synth.raw_feed(rows if len(rows.inputFiles()) >= cores else rows.repartition(cores))
 
 
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,7 +423,7 @@ def late_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.streaming.late import late_auth_events
 
     d = decoded(spark, sf_dir)
-    auth = d.filter("error IS NULL AND envelope.source_type = 'auth'")
+    auth = d.filter("event IS NOT NULL AND kind = 'auth'")
     shift = F.when(F.col("seq") % 97 == 0, 400_000).otherwise(0)
     rows = auth.select((F.col("seq") / 4000).cast("long").alias("batch"), (millis(F.col("event.event_time")) - shift).alias("event_ms"), F.col("envelope.raw").alias("raw"))
     return late_auth_events(rows)

@@ -20,7 +20,7 @@ def dns_corpus(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFr
     """dns_query of the lines of DNS logs, and one row with the number of lines that aren't such."""
     text = spark.read.text(paths).filter(F.trim("value") != "")
     line = F.trim(F.col("value"))
-    return text.filter(line.rlike(parse.DNS)).select(parse.group(line, parse.DNS, 3).alias("dns_query")), text.agg(F.count_if(~line.rlike(parse.DNS)).alias("unparsed"))
+    return text.filter(line.rlike(parse.DNS)).select(parse.parts(line, parse.DNS, 3)[2].alias("dns_query")), text.agg(F.count_if(~line.rlike(parse.DNS)).alias("unparsed"))
 
 
 def alert_fields(text: DataFrame) -> DataFrame:

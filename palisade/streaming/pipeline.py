@@ -70,9 +70,8 @@ def routed(feed: DataFrame, job: Job, year: int | None = None) -> DataFrame:
     d = parse.decoded(feed, year)
     al = F.struct(*(F.col(n) for n in names(ALERT)))
     none = lambda s: F.lit(None).cast(f"struct<{', '.join(c.replace(' ', ': ', 1) for c in s.split(', '))}>")
-    own = {"source_type": F.col("envelope.source_type"), "host": F.col("envelope.host"), "raw": F.col("envelope.raw")}
-    whole = F.struct(*(own.get(n, F.col(f"event.{n}")).alias(n) for n in names(EVENT)))
-    plain = d.select(F.when(F.col("error").isNull(), "event").otherwise("dead").alias("kind"), F.when(F.col("error").isNull(), whole).alias("event"), none(ALERT).alias("alert"), F.col("error").alias("message"))
+    whole = F.struct(*(c.alias(n) for n, c in parse.event_columns().items()))
+    plain = d.select(F.when(F.col("event").isNotNull(), "event").otherwise("dead").alias("kind"), F.when(F.col("event").isNotNull(), whole).alias("event"), none(ALERT).alias("alert"), F.col("error").alias("message"))
     found = detected(parse.events(d), Detectors(job.login, job.beacon, DnsModel.load(job.model or None)), job.watermark)
     return plain.unionByName(found.select("kind", none(EVENT).alias("event"), F.when(F.col("kind") == "alert", al).alias("alert"), "message"))
 
