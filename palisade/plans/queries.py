@@ -13,6 +13,7 @@ from palisade.operators import detectors, parse, report, training
 from palisade.plans import oracle as O
 from palisade.plans import warehouse as W
 from palisade.sources import files, synth
+from palisade.workers import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, tuple[Query, str | None]] = {}
@@ -28,9 +29,7 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
-    # a small table is one file, and so one task; making and parsing its lines is work for all cores
-    cores = spark.sparkContext.defaultParallelism
-    return synth.raw_feed(rows if len(rows.inputFiles()) >= cores else rows.repartition(cores))
+    return synth.raw_feed(spread(rows))
 
 
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
