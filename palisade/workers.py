@@ -25,6 +25,6 @@ SMALL = 64 << 20
 def spread(df: DataFrame) -> DataFrame:
     """A small table in fewer files than there are cores, dealt out over all cores; any other as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() > SMALL or len(df.inputFiles()) >= cores:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores)
