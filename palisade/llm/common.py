@@ -17,7 +17,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.workers import findable
+from palisade.workers import findable, spread
 
 #: Rows in an Arrow batch. Whole texts are passed, so that the default of 10,000 rows could take gigabytes.
 BATCH_ROWS = 500
@@ -94,4 +94,4 @@ def text_key(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
