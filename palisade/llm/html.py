@@ -10,8 +10,8 @@ across partitions and are equal if the vectors are.
 
 A slot is named by the path of elements around it. A slot's role follows from the elements on its path:
 menus, headers, footers, sidebars, notices, adverts, forms, comments of readers are boilerplate by element, ARIA role or by a
-word of the class or id. If a page marks its article, the main text is what the article's slots hold. Otherwise slots whose text is
-the same on most of the host's pages are template too, and the text of the remaining ones is taken.
+word of the class or id. If a page marks its article (or else its main part), the main text is what the slots in it hold. Slots whose text is
+the same on most of the host's pages are template too (in a marked article: on nearly all of many pages), and left out.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by two newlines.
 
@@ -40,6 +40,8 @@ from palisade.llm.common import bounded_batches, stored
 SUPPORT = 60
 #: Pages from which on texts of a host can be called constant.
 LEAST_PAGES = 5
+#: The same for texts within a marked article: they are template only on a host of many pages, nearly all of which have them.
+FIXED_SUPPORT, FIXED_PAGES = 90, 20
 #: Elements that name a path; deeper ones are read as the rest, but named as that far.
 DEPTH = 60
 
@@ -74,7 +76,7 @@ MAIN_NAMES = frozenset("article content post entry story main".split())
 class Page:
     """blocks: (path, how surely it is in the article, text) of what isn't boilerplate, in page order.
 
-    Boilerplate: 0 no, 1 in the header of an article, whose headings aren't, 2 yes. Article: 0 no, 1 by name, 2 by element or role."""
+    Boilerplate: 0 no, 1 in the header of an article, whose headings aren't, 2 yes. Article: 0 no, 1 by name, 2 the page's main part, 3 the article itself."""
 
     def __init__(self, html: str | None) -> None:
         self.blocks: list[tuple[str, int, str]] = []
@@ -181,7 +183,7 @@ def raw_end(tag: str) -> re.Pattern:
 
 @lru_cache(20_000)
 def described(tag: str, attributes: str) -> tuple[str, int, int]:
-    """An element's name in paths, whether it is boilerplate (1: as a header, 2), and how surely it is the article (0 to 2)."""
+    """An element's name in paths, whether it is boilerplate (1: as a header, 2), and how surely it is the article (0 to 3)."""
     known = {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes) if k}
     named = " ".join(known.get(k, "") for k in ("class", "id"))
     name = tag + "".join(f".{x}" for x in sorted(set(re.sub(r"\d+", "0", named).split())))
@@ -192,14 +194,14 @@ def described(tag: str, attributes: str) -> tuple[str, int, int]:
     hidden = "hidden" in attributes and HIDDEN.search(QUOTED.sub("", attributes)) or known.get("aria-hidden", "").lower() == "true" or "display:none" in known.get("style", "").replace(" ", "").lower()
     other = tag in BOILERPLATE - {"header"} or role in ROLES or said & NAMES and tag != "main" or hidden
     bad = 2 if other else int(tag == "header")
-    good = 2 if tag in ("article", "main") or role in ("main", "article") or known.get("itemprop", "").lower() == "articlebody" else int(bool(said & MAIN_NAMES))
+    good = 3 if "article" in (tag, role) or known.get("itemprop", "").lower() == "articlebody" else 2 if "main" in (tag, role) else int(bool(said & MAIN_NAMES))
     return name, bad, good
 
 
 def main_text(page: Page, template: dict | None = None) -> str:
     """The blocks of a page that are its main text. template: as in ``templates``."""
     sure = max((main for _, main, _ in page.blocks), default=0)
-    constant = frozenset(template["constant"]) if template and not sure else ()
+    constant = frozenset(template["fixed" if sure else "constant"]) if template else ()
     return "\n\n".join(text for path, main, text in page.blocks if main >= sure and (not constant or token_of(path, text) not in constant))
 
 
@@ -216,10 +218,8 @@ def occurrences(html: str | None) -> list[dict]:
     raw = (html or "").encode("utf-8", "surrogatepass")
     a, b = crc32(raw), crc32(raw[::-1])
     out = [{"token": t, "n": n, "a": a * n % 2147483629, "b": b * n % 2147483587, "text": False} for t, n in page.tokens.items()]
-    if not any(main for _, main, _ in page.blocks):
-        texts = Counter(token_of(p, t) for p, _, t in page.blocks)
-        out += [{"token": t, "n": n, "a": 0, "b": 0, "text": True} for t, n in texts.items()]
-    return out
+    texts = Counter(token_of(p, t) for p, _, t in page.blocks)
+    return out + [{"token": t, "n": n, "a": 0, "b": 0, "text": True} for t, n in texts.items()]
 
 
 def host(url: Column) -> Column:
@@ -247,8 +247,10 @@ def templates(pages: DataFrame) -> DataFrame:
         F.flatten(F.collect_list(F.when(~F.col("text") & (F.col("times") == 1), F.col("tokens")))).alias("skeleton"),
         F.collect_list(F.when(~F.col("text"), F.struct("times", "on", "tokens"))).alias("classes"),
         F.flatten(F.collect_list(F.when(F.col("text") & (F.col("pages") >= LEAST_PAGES), F.col("tokens")))).alias("constant"),
+        F.flatten(F.collect_list(F.when(F.col("text") & (F.col("pages") >= FIXED_PAGES) & (F.col("on") * 100 >= F.col("pages") * FIXED_SUPPORT), F.col("tokens")))).alias("fixed"),
     )
-    return found.select("host", F.to_json(F.struct(F.sort_array("skeleton").alias("skeleton"), F.sort_array("classes").alias("classes"), F.sort_array("constant").alias("constant"))).alias("template"))
+    parts = (F.sort_array(c).alias(c) for c in ("skeleton", "classes", "constant", "fixed"))
+    return found.select("host", F.to_json(F.struct(*parts)).alias("template"))
 
 
 @lru_cache(256)

@@ -30,6 +30,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style></head
         ("<article><p>x</p></article><article class=comment>y</article>", "x"),
         ('<div role="main"><p>m</p></div><p>o</p>', "m"),
         ('<div class="post-content"><p>m</p></div><div>o</div>', "m"),
+        ("<main><p>m</p><article><p>x</p></article></main>", "x"),
         ("<p>a</b></i></p>b</div>", "a|b"),
         ("<article>1 &lt; 2 &amp;amp; é&#x1F600;</article>", "1 < 2 &amp; é😀"),
         ("< p>x <3 y", "< p>x <3 y"),
@@ -67,6 +68,13 @@ def test_template_of_a_host(spark):
     assert html.extracted(pages(spark).limit(0)).count() == 0
 
 
+def test_texts_that_all_articles_have(spark):
+    rows = [(i, "http://c.org/", f"<article><p>Sign up today</p><p>{'Copied story' if i % 3 else f'Story {i}'}</p></article>") for i in range(30)]
+    got = {r.page_id: r["__text"] for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3"
+    assert got[4] == "Copied story"
+
+
 def test_op7(spark):
     got = queries.op7_main_text(spark, TABLES).collect()
     raw = dict(duckdb.connect().sql(f"SELECT page_id, html FROM '{TABLES}/pages.parquet'").fetchall())
