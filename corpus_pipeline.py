@@ -14,7 +14,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, line_dedup, quality, simhash, tokenizer
+from palisade.llm import decontaminate, line_dedup, near, quality, tokenizer
 from palisade.llm.common import created, drop_stored, stored, table
 from palisade.llm.queries import tokenizer_files
 
@@ -49,8 +49,8 @@ def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near copies (similarity of 5-word shingles 0.8 or more) stays, that of the smallest doc_id."""
+    return near.deduplicated(docs)
 
 
 @stage
@@ -75,7 +75,7 @@ STAGES = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: SQL has no SimHash, content-defined chunks or BPE; tests compare the pipeline with a plain version.
+#: SQL has no near copies, content-defined chunks or BPE; tests compare the pipeline with a plain version.
 ORACLE_SQL = None
 
 
