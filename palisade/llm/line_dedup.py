@@ -1,8 +1,9 @@
 """Removal of repeated runs of lines, by content-defined chunks.
 
-Each line has a hash; a polynomial hash rolls over those of the last ROLL lines, and a chunk ends where it is 0 modulo EVERY.
-So boundaries depend on the lines around them only, and lines inserted or dropped elsewhere don't move them. Chunks have
-LEAST lines at least and MOST at most. The hashes of chunks with two lines or more that aren't blank are counted; a
+Blank lines belong to the line before them (those a text begins with, to the first that isn't blank), so that paragraphs parted by blank
+lines are chunked as those that aren't. Each line that isn't blank has a hash; a polynomial hash rolls over those of the last ROLL, and a chunk
+ends where it is 0 modulo EVERY. ROLL is 1: a run of lines has the same boundaries whatever stands before it, and lines inserted
+or dropped elsewhere don't move them. Chunks have LEAST such lines at least and MOST at most. The hashes of chunks with two of them or more are counted; a
 bounded filter of those that occur again decides whose bytes are sent. These are grouped by all their bytes, and of equal
 ones all but the first, in the smallest doc_id, go. Grouping combines before the shuffle, so that a chunk that many texts share isn't a burden to one task.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from palisade.llm.common import bounded_batches, only_last, stored
 from palisade.llm.repeats import _bytes, bit_filter, doc_key, passes, repeated
 
-ROLL, EVERY, LEAST, MOST = 3, 2, 2, 64
+ROLL, EVERY, LEAST, MOST = 1, 2, 2, 64
 BASE, MASK = 0xD6E8FEB86659FD93, (1 << 64) - 1
 DROP = (BASE ** ROLL) & MASK
 
@@ -33,17 +34,16 @@ DROP = (BASE ** ROLL) & MASK
 def chunks(text: bytes) -> list[tuple[int, int]]:
     """(first line, lines) of each chunk of a text, in order."""
     lines = text.split(b"\n")
-    hashes = [xxhash.xxh64_intdigest(x) for x in lines]
-    out, begin, roll = [], 0, 0
-    for i, h in enumerate(hashes):
-        roll = (roll * BASE + h - (hashes[i - ROLL] * DROP if i >= ROLL else 0)) & MASK
-        n = i + 1 - begin
-        if n >= LEAST and ((roll >> 32) % EVERY == 0 or n >= MOST):
-            out.append((begin, n))
-            begin = i + 1
-    if begin < len(lines):
-        out.append((begin, len(lines) - begin))
-    return out
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    hashes = [xxhash.xxh64_intdigest(lines[i]) for i in full]
+    out, begin, first, roll = [], 0, 0, 0  # first: the chunk's first line, as counted without blank ones
+    for k, h in enumerate(hashes):
+        roll = (roll * BASE + h - (hashes[k - ROLL] * DROP if k >= ROLL else 0)) & MASK
+        n = k + 1 - first
+        if k + 1 < len(full) and n >= LEAST and ((roll >> 32) % EVERY == 0 or n >= MOST):
+            out.append((begin, full[k + 1] - begin))
+            begin, first = full[k + 1], k + 1
+    return [*out, (begin, len(lines) - begin)]
 
 
 def eligible(text: bytes) -> list[tuple[int, int, bytes]]:
