@@ -11,11 +11,12 @@ across partitions and are equal if the vectors are.
 A slot is named by the path of elements around it. A slot's role follows from the elements on its path:
 menus, headers, footers, sidebars, notices, adverts, forms, comments of readers are boilerplate by element, ARIA role or by a
 word of the class or id. If a page marks its article (or else its main part), the main text is what the slots in it hold. Slots whose text is
-the same on most of the host's pages are template too (in a marked article: on nearly all of many pages), and left out.
+the same on most of the host's pages are template too (in a marked article: on nearly all of many pages), and left out. Pages of a host that have the same texts count as one in that, and a marked
+article or main part that would be left empty stays as it is.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by two newlines.
 
-Rows: null or empty html gives an empty text. Pages without a host share one template. Repeated pages count each, and
+Rows: null or empty html gives an empty text. Pages without a host share one template. Repeated pages
 get equal texts; an empty table gives an empty table. Malformed markup is read as browsers do by and large: an unclosed element ends
 with the one around it. Other columns are passed on.
 """
@@ -27,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import md5
 from html import unescape
 from zlib import crc32
 
@@ -38,7 +40,7 @@ from palisade.llm.common import bounded_batches, stored
 
 #: Share of a host's pages that a template token or a constant text is on, in hundredths.
 SUPPORT = 60
-#: Pages from which on texts of a host can be called constant.
+#: Different pages from which on texts of a host can be called constant.
 LEAST_PAGES = 5
 #: The same for texts within a marked article: they are template only on a host of many pages, nearly all of which have them.
 FIXED_SUPPORT, FIXED_PAGES = 90, 20
@@ -202,24 +204,27 @@ def main_text(page: Page, template: dict | None = None) -> str:
     """The blocks of a page that are its main text. template: as in ``templates``."""
     sure = max((main for _, main, _ in page.blocks), default=0)
     constant = frozenset(template["fixed" if sure else "constant"]) if template else ()
-    return "\n\n".join(text for path, main, text in page.blocks if main >= sure and (not constant or token_of(path, text) not in constant))
+    blocks = [(path, text) for path, main, text in page.blocks if main >= sure]
+    left = [text for path, text in blocks if not constant or token_of(path, text) not in constant]
+    return "\n\n".join(left or [text for _, text in blocks if sure])
 
 
 def token_of(path: str, text: str) -> str:
     return f"{path} {crc32(text.encode('utf-8', 'surrogatepass')):08x}{len(text):x}"
 
 
-OCCURRENCES = "array<struct<token: string, n: bigint, a: bigint, b: bigint, text: boolean>>"
+OCCURRENCES = "struct<same: binary, tokens: array<struct<token: string, n: bigint, a: bigint, b: bigint, text: boolean>>>"
 
 
-def occurrences(html: str | None) -> list[dict]:
-    """The tokens of a page and how often they occur, with two hashes of the page for its place in their vectors."""
+def occurrences(html: str | None) -> dict:
+    """A digest of the texts of a page, its tokens and how often they occur, with two hashes of the page for its place in their vectors."""
     page = Page(html)
     raw = (html or "").encode("utf-8", "surrogatepass")
     a, b = crc32(raw), crc32(raw[::-1])
     out = [{"token": t, "n": n, "a": a * n % 2147483629, "b": b * n % 2147483587, "text": False} for t, n in page.tokens.items()]
     texts = Counter(token_of(p, t) for p, _, t in page.blocks)
-    return out + [{"token": t, "n": n, "a": 0, "b": 0, "text": True} for t, n in texts.items()]
+    out += [{"token": t, "n": n, "a": 0, "b": 0, "text": True} for t, n in texts.items()]
+    return {"same": md5("\0".join(t for _, _, t in page.blocks).encode("utf-8", "surrogatepass")).digest(), "tokens": out}
 
 
 def host(url: Column) -> Column:
@@ -233,21 +238,29 @@ def templates(pages: DataFrame) -> DataFrame:
 
     @F.arrow_udf(OCCURRENCES)
     def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("text", pa.bool_())]))
+        token = pa.struct([("token", pa.string()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("text", pa.bool_())])
+        kind = pa.struct([("same", pa.binary()), ("tokens", pa.list_(token))])
         for batch in batches:
             yield pa.array([occurrences(x) for x in batch.to_pylist()], kind)
 
     of = host(F.col("url")).alias("host")
-    sizes = pages.groupBy(of).agg(F.count("*").alias("pages"))
-    tokens = pages.select(of, each(F.col("html")).alias("x")).select("host", F.explode("x").alias("x")).select("host", "x.*")
-    vectors = tokens.groupBy("host", "token", "text").agg(F.count("*").alias("on"), F.sum("n").alias("total"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("n").alias("most"))
-    often = vectors.join(sizes, "host").filter((F.col("on") * 100 >= F.col("pages") * SUPPORT) & (F.col("most") * F.col("on") == F.col("total")))
-    classes = often.groupBy("host", "text", "on", "total", "a", "b").agg(F.max("pages").alias("pages"), F.max("most").alias("times"), F.sort_array(F.collect_list("token")).alias("tokens"))
+    read = stored(pages.select(of, each(F.col("html")).alias("x")).select("host", "x.*"), "occurrences")
+    # pages of a host that have the same texts count as one, each of them as a share of it
+    copies = read.groupBy("host", "same").agg(F.count("*").alias("copies"))
+    sizes = copies.groupBy("host").agg(F.sum("copies").alias("pages"), F.count("*").alias("different"))
+    shares = copies.filter("copies > 1").withColumnRenamed("host", "of").withColumnRenamed("same", "as")
+    counted = read.join(shares, (F.col("host") == F.col("of")) & (F.col("same") == F.col("as")), "left")
+    tokens = counted.select("host", (1 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode("tokens").alias("x")).select("host", "share", "x.*")
+    vectors = tokens.groupBy("host", "token", "text").agg(F.count("*").alias("on"), F.sum("share").alias("share"), F.sum("n").alias("total"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("n").alias("most"))
+    # shares are rounded, as their sum depends on the order of adding
+    often = vectors.withColumn("share", F.round("share", 4)).join(sizes, "host")
+    often = often.filter((F.col("share") * 100 >= F.col("different") * SUPPORT) & (F.col("most") * F.col("on") == F.col("total")))
+    classes = often.groupBy("host", "text", "on", "share", "total", "a", "b").agg(F.max("pages").alias("pages"), F.max("different").alias("different"), F.max("most").alias("times"), F.sort_array(F.collect_list("token")).alias("tokens"))
     found = classes.groupBy("host").agg(
         F.flatten(F.collect_list(F.when(~F.col("text") & (F.col("times") == 1), F.col("tokens")))).alias("skeleton"),
         F.collect_list(F.when(~F.col("text"), F.struct("times", "on", "tokens"))).alias("classes"),
-        F.flatten(F.collect_list(F.when(F.col("text") & (F.col("pages") >= LEAST_PAGES), F.col("tokens")))).alias("constant"),
-        F.flatten(F.collect_list(F.when(F.col("text") & (F.col("pages") >= FIXED_PAGES) & (F.col("on") * 100 >= F.col("pages") * FIXED_SUPPORT), F.col("tokens")))).alias("fixed"),
+        F.flatten(F.collect_list(F.when(F.col("text") & (F.col("different") >= LEAST_PAGES), F.col("tokens")))).alias("constant"),
+        F.flatten(F.collect_list(F.when(F.col("text") & (F.col("different") >= LEAST_PAGES) & (F.col("pages") >= FIXED_PAGES) & (F.col("share") * 100 >= F.col("different") * FIXED_SUPPORT), F.col("tokens")))).alias("fixed"),
     )
     parts = (F.sort_array(c).alias(c) for c in ("skeleton", "classes", "constant", "fixed"))
     return found.select("host", F.to_json(F.struct(*parts)).alias("template"))
