@@ -19,7 +19,7 @@ score is the share of toxic labels, or 0 without any. Other columns are passed o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 from zlib import crc32
 
@@ -139,9 +139,15 @@ def _features() -> callable:
     return features
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of the labelled rows that aren't held out."""
+    usable = F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    return labels.filter(usable).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """features and toxic of at most so many labelled rows of each class; rows that are held out have no part in it."""
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    known = _known(labels)
     least = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in (0, 1)]
     ids = least[0].unionByName(least[1])  # 2 * rows at most, whatever the size of the input
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
@@ -149,11 +155,18 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
     return got.groupBy("doc_id").agg(F.min(F.struct("k", "features", "toxic")).alias("x")).select("doc_id", "x.features", "x.toxic").orderBy("doc_id")
 
 
+def shift(labels: DataFrame, rows: int = TRAIN_ROWS) -> float:
+    """What a sample of at most so many rows of each class lacks in the log-odds of toxic rows."""
+    n = {r.toxic: r.n for r in _known(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    return float(np.log(max(1, n.get(1, 0) / rows) / max(1, n.get(0, 0) / rows)))
+
+
 def learnt(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     bounded_batches(docs.sparkSession)
     got = sample(docs, labels, rows).toArrow().combine_chunks()
     features = pa.concat_arrays(got["features"].chunks) if len(got) else pa.array([], pa.list_(pa.int32()))
-    return fitted(features.flatten().to_numpy(), np.diff(features.offsets.to_numpy()), got["toxic"].to_numpy())
+    machine = fitted(features.flatten().to_numpy(), np.diff(features.offsets.to_numpy()), got["toxic"].to_numpy())
+    return replace(machine, bias=machine.bias + shift(labels, rows))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
