@@ -1,14 +1,13 @@
-"""Main text of web pages by template deduction over equivalence classes.
+"""Main text of web pages by names of elements and texts constant over a host's pages.
 
 A page is read as tokens: start tags, told apart by the path of elements (with classes and ids) that leads to them.
-The occurrence vector of a token says how often it is on each page of a host. Tokens with equal vectors form an
-equivalence class; a class is valid if its tokens are on at least SUPPORT of the host's pages, the same number of times
-on each. The classes nest: the class of tokens that are once on a page is the page's skeleton, and a class of several
-occurrences lies in a slot of it. What lies between template tokens are slots. For vectors of any length and hosts of
+The occurrence vector of a token says how often it is on each page of a host. Tokens with equal vectors, that are on at least SUPPORT
+of the host's pages, the same number of times on each, form an equivalence class. The classes are stored with the template, but neither validated by
+order nor nested, and the main text doesn't depend on them. For vectors of any length and hosts of
 any size, a vector is kept as its number of pages, its sum, and two sums of hashes of (page, count), which add up
 across partitions and are equal if the vectors are.
 
-A slot is named by the path of elements around it. A slot's role follows from the elements on its path:
+A slot here is a block of text, named by the path of elements around it. Its role follows from the elements on its path:
 menus, headers, footers, sidebars, notices, adverts, forms, comments of readers are boilerplate by element, ARIA role or by a
 word of the class or id. If a page marks its article (or else its main part), the main text is what the slots in it hold. Slots whose text is
 the same on most of the host's pages are template too (in a marked article: on nearly all of many pages), and left out. Pages of a host that have the same texts count as one in that, and a marked
