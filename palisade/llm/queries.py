@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import decontaminate, html, line_dedup, quality, relative_lz, simhash, sql, suffix_dedup, tokenizer, toxicity, warc
-from palisade.llm.common import bounded_batches, scratch, stored, table
+from palisade.llm.common import findable, scratch, stored, table
 
 
 def _list_sha256(ids: Column) -> Column:
@@ -48,7 +48,7 @@ def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
+    findable(spark)
     docs = table(spark, sf_dir, "documents")
     rows = stored(docs.select("doc_id", simhash.fingerprints(F.col("text")).alias("fp")), "rows")
     return simhash.grouped(rows).select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -72,8 +72,12 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc.archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch(spark, "warc"))
-    return out.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+    """Responses are read with their payloads, which are checked against their digests; of revisits only the headers."""
+    path = scratch(spark, "warc", keep=True)
+    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    out = warc.read(spark, path, record_type=["response"]).unionByName(warc.read(spark, path, payload=False, record_type=["revisit"]))
+    size = F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes"))
+    return out.select(warc.page_of("record_id").alias("page_id"), size.alias("payload_bytes"), "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
