@@ -4,16 +4,18 @@ A term is a run of letters and digits in lower case; a text's features are the h
 beginnings of PREFIXES code points, which inflected and compounded words share. The machine
 adds up a bias, a weight for each feature, and for each pair of features the product of their factor vectors, so that
 an insult together with a group's name can weigh more than the two by themselves. It is fitted by AdaGrad on the
-logistic loss, on a bounded sample of labelled rows: at most TRAIN_ROWS of each class, those whose hashed doc_id is
+logistic loss, on a bounded sample of labelled rows: at most TRAIN_ROWS of each class and TRAIN_FEATURES features of them, those whose hashed doc_id is
 least. The sample's features come to the driver; scoring then runs over every whole text, in Arrow batches, without a
 shuffle.
 
-Only features that MIN_ROWS rows of the sample have and whose presence depends on the label (a chi-squared statistic
-of CHI or more) take part, in training as in scoring; else the many rare terms would learn single rows by heart.
+Features that MIN_ROWS rows of the sample have take part, whether they depend on the label by themselves or not. The many rare terms
+are kept from learning single rows by heart by a proximal step: weights and factors shrink towards 0 at each update and are 0
+unless rows agree. Toxic rows count TOXIC_WEIGHT times in the fit, and the bias is set back by that and to the true class shares in the end.
+All parameters were set by cross-validation within the rows that aren't held out.
 
-Rows: a null or empty text has no features and gets the score of the bias. Repeated rows get equal scores; of several
-labels of one doc_id the largest counts, and of several texts of a labelled doc_id one is learnt from. Without labels of both classes the
-score is the share of toxic labels, or 0 without any. Other columns are passed on.
+Rows: a null or empty text has no features and gets the score of the bias; very long ones have the features of their whole text. Repeated rows get equal scores; of several
+labels of one doc_id the largest counts, and of several texts of a labelled doc_id one is learnt from. A null doc_id isn't learnt from, and isn't held out. Without labels of both classes the
+score is the share of toxic labels, or 0 without any. An empty table gives an empty table. Other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,19 +27,23 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import bounded_batches, text_key
+from palisade.llm.common import findable, text_key
 
 #: Labelled rows of each class that the machine is fitted on, at most.
 TRAIN_ROWS = 8_000
+#: Their features (a long text has many), by class, at most; rows beyond that are left out of the sample.
+TRAIN_FEATURES = 8_000_000
 #: Slots for hashed terms.
 SLOTS = 1 << 20
 #: Lengths of the beginnings of terms that are features too.
 PREFIXES = (4, 5)
-MIN_ROWS, CHI = 5, 15.0
-FACTORS, EPOCHS, RATE, DECAY, BATCH, SEED = 8, 30, 0.1, 1e-5, 128, 11
+MIN_ROWS, TOXIC_WEIGHT = 5, 2.0
+FACTORS, EPOCHS, RATE, FACTOR_RATE, BATCH, SEED = 8, 14, 0.1, 0.06, 128, 11
+#: How far weights and factors shrink, in units of a gradient; how far factors spread at first.
+SHRINK, FACTOR_SHRINK, SPREAD = 0.04, 0.12, 0.04
 
 _FOLD = bytes(0x20 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 
@@ -93,18 +99,20 @@ def fitted(flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray) -> Machine:
     if not 0 < share < 1:
         return Machine(float("-inf") if share == 0 else float("inf"), row, np.zeros(1), np.zeros((1, FACTORS)))
     of = np.repeat(np.arange(len(y)), sizes)
-    have, toxic_have = np.bincount(flat, minlength=SLOTS), np.bincount(flat, y[of], SLOTS)
-    spread = have * share * (1 - share) * (1 - have / len(y))
-    used = np.flatnonzero((have >= MIN_ROWS) & ((toxic_have - have * share) ** 2 >= CHI * spread))
+    used = np.flatnonzero(np.bincount(flat, minlength=SLOTS) >= MIN_ROWS)
     row[used] = np.arange(1, len(used) + 1)
     of, flat = of[row[flat] > 0], row[flat][row[flat] > 0]
     starts = np.searchsorted(of, np.arange(len(y) + 1))
     rng = np.random.default_rng(SEED)
     n = len(used) + 1
-    weight, factors = np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
+    weight, factors = np.zeros(n), rng.normal(0, SPREAD, (n, FACTORS))
     factors[0] = 0
     bias = float(np.log(share / (1 - share)))
     seen_w, seen_v = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2)
+
+    def shrunk(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return np.sign(x) * np.maximum(np.abs(x) - by, 0)
+
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for part in np.array_split(order, max(1, len(y) // BATCH)):
@@ -113,21 +121,23 @@ def fitted(flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray) -> Machine:
             at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts[part], sizes)
             features = flat[at]
             z, sums = _logits(bias, weight, factors, features, local, len(part))
-            error = (_sigmoid(z) - y[part]) / len(part) * 16
+            error = (_sigmoid(z) - y[part]) * np.where(y[part] > 0, TOXIC_WEIGHT, 1) / len(part) * 16
             hit, back = np.unique(features, return_inverse=True)
             e = error[local]
-            g = np.bincount(back, e, len(hit)) + DECAY * weight[hit]
-            gv = np.stack([np.bincount(back, e * (sums[local, f] - factors[features, f]), len(hit)) for f in range(FACTORS)], 1) + DECAY * factors[hit]
+            g = np.bincount(back, e, len(hit))
+            ev = e[:, None] * (sums[local] - factors[features])
+            gv = np.stack([np.bincount(back, ev[:, f], len(hit)) for f in range(FACTORS)], 1)
             seen_w[hit] += g * g
             seen_v[hit] += gv * gv
-            weight[hit] -= RATE * g / np.sqrt(seen_w[hit])
-            factors[hit] -= RATE / 4 * gv / np.sqrt(seen_v[hit])
+            step, step_v = RATE / np.sqrt(seen_w[hit]), FACTOR_RATE / np.sqrt(seen_v[hit])
+            weight[hit] = shrunk(weight[hit] - step * g, step * SHRINK)
+            factors[hit] = shrunk(factors[hit] - step_v * gv, step_v * FACTOR_SHRINK)
             bias -= RATE / 8 * error.sum()
-    return Machine(bias, row, weight, factors)
+    return Machine(bias - float(np.log(TOXIC_WEIGHT)), row, weight, factors)
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def _features() -> callable:
@@ -145,34 +155,37 @@ def _known(labels: DataFrame) -> DataFrame:
     return labels.filter(usable).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """features and toxic of at most so many labelled rows of each class; rows that are held out have no part in it."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: int = TRAIN_FEATURES) -> DataFrame:
+    """features and toxic of at most so many labelled rows of each class, with so many features; rows that are held out have no part in it."""
     known = _known(labels)
     least = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for c in (0, 1)]
     ids = least[0].unionByName(least[1])  # 2 * rows at most, whatever the size of the input
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     got = texts.select("doc_id", "toxic", text_key(F.col("text")).alias("k"), _features()(F.col("text")).alias("features"))
-    return got.groupBy("doc_id").agg(F.min(F.struct("k", "features", "toxic")).alias("x")).select("doc_id", "x.features", "x.toxic").orderBy("doc_id")
+    one = got.groupBy("doc_id").agg(F.min(F.struct("k", "features", "toxic")).alias("x")).select("doc_id", "x.features", "x.toxic")
+    upto = F.sum(F.size("features")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return one.withColumn("upto", upto).filter(F.col("upto") <= features).select("doc_id", "features", "toxic").orderBy("doc_id")
 
 
-def shift(labels: DataFrame, rows: int = TRAIN_ROWS) -> float:
-    """What a sample of at most so many rows of each class lacks in the log-odds of toxic rows."""
+def shift(labels: DataFrame, sampled: dict[int, int]) -> float:
+    """What a sample of so many rows of each class lacks in the log-odds of toxic rows."""
     n = {r.toxic: r.n for r in _known(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    return float(np.log(max(1, n.get(1, 0) / rows) / max(1, n.get(0, 0) / rows)))
+    return float(np.log(max(1, n.get(1, 0)) / max(1, n.get(0, 0))) - np.log(max(1, sampled.get(1, 0)) / max(1, sampled.get(0, 0))))
 
 
 def learnt(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
-    bounded_batches(docs.sparkSession)
+    findable(docs.sparkSession)
     got = sample(docs, labels, rows).toArrow().combine_chunks()
     features = pa.concat_arrays(got["features"].chunks) if len(got) else pa.array([], pa.list_(pa.int32()))
-    machine = fitted(features.flatten().to_numpy(), np.diff(features.offsets.to_numpy()), got["toxic"].to_numpy())
-    return replace(machine, bias=machine.bias + shift(labels, rows))
+    toxic = got["toxic"].to_numpy()
+    machine = fitted(features.flatten().to_numpy(), np.diff(features.offsets.to_numpy()), toxic)
+    return replace(machine, bias=machine.bias + shift(labels, {c: int((toxic == c).sum()) for c in (0, 1)}))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     """``docs`` and ``__score``."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    findable(spark)
     sent = spark.sparkContext.broadcast(machine)
 
     @F.arrow_udf("double")
