@@ -30,3 +30,9 @@ def test_a_marked_article_is_not_emptied(spark):
     """All of its text is on nearly all pages, which differ elsewhere."""
     rows = [f"<p>Place {i}</p><article><p>One notice</p></article>" for i in range(30)]
     assert set(extracted(spark, rows).values()) == {"One notice"}
+
+
+@pytest.mark.parametrize("copies", [1, 4, 5, 20])
+@pytest.mark.parametrize("page", ["<article><p>Long story</p></article>", "<p>Long story</p>"])
+def test_copies_of_one_page_stay(spark, copies, page):
+    assert set(extracted(spark, [page] * copies).values()) == {"Long story"}
