@@ -1,22 +1,22 @@
 """WARC archives as a Python data source, for reading and writing.
 
-Writing: each task writes archives of one gzip member a record, and notes where records begin, in its commit message; the commit writes
-a manifest of the files of successful attempts, so that what a lost executor left behind is never read. Payloads that
+Writing: each task writes archives of one gzip member a record, and notes where records begin, in its commit message; each commit writes
+a manifest of its own with the files of successful attempts, so that what a lost executor left behind is never read, and appending keeps what is there. Payloads that
 the table says are revisits are not written again.
 
-Reading: partitions are runs of whole records, planned from the manifest (without one, each file is a partition).
+Reading: partitions are runs of whole records, planned from the manifests (without any, each file is a partition).
 Predicates on record_type, record_id, target_uri, payload_digest and refers_to are pushed down: a record's headers are
 parsed first, and only if they match (and payloads are wanted) is its payload decoded, and checked against its digest.
 They are given to ``read``, or as options, as values in a JSON list. With the option pushdown (and
 spark.sql.python.filterPushdown.enabled) Spark hands over a query's own filters, too; but a DataFrame of Spark 4.1 keeps those of its
 last query if the next one has none, so that each query must then load the source anew. ``read`` does without that.
 
-Options: path (a URI or local path that all executors reach), payload (true: decode payloads), the columns above, date
+Options: path (a URI that all executors reach; ``read`` and ``archived`` resolve one without a scheme in Spark's default file system), payload (true: decode payloads), the columns above, date
 (of written records), split_bytes (archive bytes of a partition).
 
 ``pages``: null html counts as empty. Of records with equal payloads, those with the smallest page_id are responses
 and the others revisit it; so equal rows of that page_id are all responses, as are rows if all page_ids of a payload are null.
-A null page_id is larger than any other. An empty table gives an archive without records. Other columns are ignored.
+A null page_id is larger than any other. Very long payloads are one record. An empty table gives an archive without records. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from palisade.llm.common import bounded_batches, stored
-from palisade.workers import findable
+from palisade.llm.common import findable, stored, workspace
 
 #: What the source reads. A revisit has no payload; payload_bytes and payload_digest are those of the full one.
 READ = "record_id string, record_type string, target_uri string, payload_bytes bigint, payload_digest string, refers_to string, payload binary"
@@ -47,6 +46,7 @@ WRITTEN = "record_id string, record_type string, target_uri string, payload bina
 #: Archive bytes of a file, and those between two noted places.
 FILE_BYTES, SPLIT_BYTES = 256 << 20, 16 << 20
 BATCH_BYTES = 8 << 20
+MANIFEST = "_manifest"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -156,12 +156,15 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         store, path = place(self.path)
-        manifest = f"{path}/_manifest.json"
-        if store.get_file_info(manifest).type == fs.FileType.NotFound:
-            found = store.get_file_info(fs.FileSelector(path)) if store.get_file_info(path).type == fs.FileType.Directory else [store.get_file_info(path)]
-            return [Run(f.path, 0, f.size) for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".warc.gz")]
-        with store.open_input_stream(manifest) as f:
-            files = json.loads(f.read())
+        found = store.get_file_info(fs.FileSelector(path)) if store.get_file_info(path).type == fs.FileType.Directory else [store.get_file_info(path)]
+        found = sorted(found, key=lambda f: f.path)
+        manifests = [f.path for f in found if f.base_name.startswith(MANIFEST)]
+        if not manifests:
+            return [Run(f.path, 0, f.size) for f in found if f.path.endswith(".warc.gz")]
+        files = []
+        for manifest in manifests:
+            with store.open_input_stream(manifest) as f:
+                files += json.loads(f.read())
         out: list[InputPartition] = []
         for x in files:
             cuts = [0]
@@ -263,7 +266,7 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, path = place(self.path)
         store.create_dir(path, recursive=True)
-        with store.open_output_stream(f"{path}/_manifest.json") as f:
+        with store.open_output_stream(f"{path}/{MANIFEST}-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([x for m in messages if m is not None for x in m.files]).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -293,12 +296,18 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Warc)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The URI of a path, as Spark would resolve it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def read(spark: SparkSession, path: str, payload: bool = True, split_bytes: int = SPLIT_BYTES, **wanted: list[str]) -> DataFrame:
     """The records of archives whose columns have one of the values wanted, such as record_type=["revisit"]."""
     if unknown := set(wanted) - set(PUSHED):
         raise ValueError(f"no predicate on {sorted(unknown)} can be pushed down")
     register(spark)
-    options = {"path": path, "payload": str(payload).lower(), "split_bytes": str(split_bytes)}
+    options = {"path": qualified(spark, path), "payload": str(payload).lower(), "split_bytes": str(split_bytes)}
     return spark.read.format("warc").options(**options, **{k: json.dumps(list(v)) for k, v in wanted.items()}).load()
 
 
@@ -321,13 +330,18 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     )
 
 
-def archived(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
-    """Write ``pages`` to archives below ``path``, and read those."""
+def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+    """Append ``pages`` to the archives below ``path``."""
     spark = pages.sparkSession
     register(spark)
-    bounded_batches(spark)
-    records(pages, least_bytes).write.format("warc").mode("append").option("path", path).save()
-    return read(spark, path)
+    with workspace(spark):
+        records(pages, least_bytes).write.format("warc").mode("append").option("path", qualified(spark, path)).save()
+
+
+def archived(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
+    """Write ``pages`` to archives below ``path``, and read those."""
+    write(pages, path, least_bytes)
+    return read(pages.sparkSession, path)
 
 
 def page_of(record: str) -> Column:
