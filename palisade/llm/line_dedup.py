@@ -3,13 +3,14 @@
 Blank lines belong to the line before them (those a text begins with, to the first that isn't blank), so that paragraphs parted by blank
 lines are chunked as those that aren't. Each line that isn't blank has a hash; a polynomial hash rolls over those of the last ROLL, and a chunk
 ends where it is 0 modulo EVERY. ROLL is 1: a run of lines has the same boundaries whatever stands before it, and lines inserted
-or dropped elsewhere don't move them. Chunks have LEAST such lines at least and MOST at most. The hashes of chunks with two of them or more are counted; a
-bounded filter of those that occur again decides whose bytes are sent. These are grouped by all their bytes, and of equal
-ones all but the first, in the smallest doc_id, go. Grouping combines before the shuffle, so that a chunk that many texts share isn't a burden to one task.
+or dropped elsewhere don't move them. Chunks have LEAST such lines at least, and no limit: a chunk without a boundary ends with its text. The hashes of chunks with two
+of them or more are counted; a bounded filter of those that occur again decides which are sent. These are grouped by a 128-bit digest, and
+their bytes compared; should two differ, all starts anew with another seed. Of equal chunks all but the first, in the smallest doc_id,
+go. Grouping combines before the shuffle, so that a chunk that many texts share isn't a burden to one task.
 
 Rows: a null text stays null; a text of single lines stays as it is. Texts of equal doc_id are ordered by a hash of the text; rows that
 agree in doc_id and text are taken as one and the same. A null doc_id is larger than any. An empty table gives an empty
-table. Other columns are passed on; n_chars follows the text if it is there.
+table. Very long texts are chunked whole. Other columns are passed on, whatever their names; n_chars follows the text if it is there.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import bounded_batches, only_last, stored
-from palisade.llm.repeats import _bytes, bit_filter, doc_key, passes, repeated
+from palisade.llm.common import findable, stored, workspace
+from palisade.llm.repeats import REMEMBERED, Collision, _bytes, bit_filter, doc_key, passes, repeated
 
-ROLL, EVERY, LEAST, MOST = 1, 2, 2, 64
+ROLL, EVERY, LEAST = 1, 2, 2
 BASE, MASK = 0xD6E8FEB86659FD93, (1 << 64) - 1
 DROP = (BASE ** ROLL) & MASK
 
@@ -40,7 +41,7 @@ def chunks(text: bytes) -> list[tuple[int, int]]:
     for k, h in enumerate(hashes):
         roll = (roll * BASE + h - (hashes[k - ROLL] * DROP if k >= ROLL else 0)) & MASK
         n = k + 1 - first
-        if k + 1 < len(full) and n >= LEAST and ((roll >> 32) % EVERY == 0 or n >= MOST):
+        if k + 1 < len(full) and n >= LEAST and (roll >> 32) % EVERY == 0:
             out.append((begin, full[k + 1] - begin))
             begin, first = full[k + 1], k + 1
     return [*out, (begin, len(lines) - begin)]
@@ -59,34 +60,69 @@ def _hashes(texts: list[bytes]) -> list[np.ndarray]:
     return [np.array([xxhash.xxh3_64_intdigest(c) for t in texts for _, _, c in eligible(t)], np.uint64)]
 
 
-SENT = "did bigint, th bigint, h bigint, line int, lines int, chunk binary"
+SENT = "did bigint, th bigint, c1 bigint, c2 bigint, line int, lines int, chunk binary"
+
+
+def sent(docs: DataFrame, bits: np.ndarray, seed: int) -> DataFrame:
+    """SENT: the chunks that pass the filter; a task sends the bytes of a chunk once, and other bytes of the same digest too."""
+    passed_on = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    names = [x.split()[0] for x in SENT.split(", ")]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(passed_on.value, np.uint8)
+        told: dict[bytes, bytes] = {}
+        held = 0
+        for batch in batches:
+            did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            found = [(i, *c) for i, t in enumerate(_bytes(batch.column(2))) for c in eligible(t)]
+            h = np.array([xxhash.xxh3_64_intdigest(c) for *_, c in found], np.uint64)
+            keep = np.flatnonzero(passes(known, h)).tolist() if len(h) else []
+            if not keep:
+                continue
+            i, line, lines, chunk = map(list, zip(*(found[k] for k in keep), strict=True))
+            digests = [xxhash.xxh3_128_digest(c, seed) for c in chunk]
+            for k, (d, c) in enumerate(zip(digests, chunk, strict=True)):
+                if told.setdefault(d, c) is not c and told[d] == c:
+                    chunk[k] = None
+                else:
+                    held += len(c) + 100
+            if held > REMEMBERED:
+                told.clear()
+                held = 0
+            c = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            columns = [did[i], th[i], c[:, 0], c[:, 1], np.array(line, np.int32), np.array(lines, np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(chunk, pa.binary())], names)
+
+    return docs.select(*doc_key(docs), "text").mapInArrow(send, SENT)
+
+
+def first_chunks(seen: DataFrame) -> DataFrame:
+    """c1, c2, first: of each chunk that occurs again its first occurrence. Equal digests are checked by the bytes."""
+    first = F.min(F.struct("did", "th", "line")).alias("first")
+    differ = F.when(F.min("chunk") != F.max("chunk"), F.lit(1)).alias("differ")
+    found = stored(seen.groupBy("c1", "c2").agg(first, F.count("*").alias("n"), differ).filter("n > 1").drop("n"), "first_chunks")
+    if not found.filter("differ = 1").isEmpty():
+        raise Collision
+    return found.drop("differ")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """did, th, gone: of each text with chunks that occur before, first line and lines of these."""
     spark = docs.sparkSession
-    bounded_batches(spark)
-    with only_last(spark):
-        bits = spark.sparkContext.broadcast(bit_filter(repeated(docs.select("text"), _hashes)).tobytes())
-
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = np.frombuffer(bits.value, np.uint8)
-            for batch in batches:
-                did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                found = [(i, *c) for i, t in enumerate(_bytes(batch.column(2))) for c in eligible(t)]
-                h = np.array([xxhash.xxh3_64_intdigest(c) for *_, c in found], np.uint64)
-                keep = np.flatnonzero(passes(known, h)) if len(h) else []
-                if not len(keep):
-                    continue
-                i, line, lines, chunk = zip(*(found[k] for k in keep), strict=True)
-                columns = [did[list(i)], th[list(i)], h[keep].view(np.int64), np.array(line, np.int32), np.array(lines, np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(chunk, pa.binary())], [x.split()[0] for x in SENT.split(", ")])
-
-        seen = stored(docs.select(*doc_key(docs), "text").mapInArrow(send, SENT), "chunks")
-        groups = seen.groupBy("h", "chunk").agg(F.min(F.struct("did", "th", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "chunk", "first")
-        groups = stored(groups, "first_chunks")  # both sides of the join are read: rows of a hot chunk can be split
-        later = seen.join(groups.hint("merge"), ["h", "chunk"]).filter(F.struct("did", "th", "line") != F.col("first"))
-        return stored(later.groupBy("did", "th").agg(F.sort_array(F.collect_set(F.struct("line", "lines"))).alias("gone")), "gone")
+    findable(spark)
+    with workspace(spark):
+        bits = bit_filter(repeated(docs, _hashes))
+        seed = 0
+        while True:
+            seen = stored(sent(docs, bits, seed), "chunks")
+            try:
+                groups = first_chunks(seen)
+                break
+            except Collision:
+                seed += 1
+        # both sides are read from storage: rows of a hot chunk can be split
+        later = seen.drop("chunk").join(groups.hint("merge"), ["c1", "c2"]).filter(F.struct("did", "th", "line") != F.col("first"))
+        return stored(later.groupBy("did", "th").agg(F.sort_array(F.collect_set(F.struct("line", "lines"))).alias("gone")), "gone", keep=True)
 
 
 def marked(docs: DataFrame) -> DataFrame:

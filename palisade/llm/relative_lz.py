@@ -1,16 +1,17 @@
 """Substring removal by relative Lempel-Ziv parsing.
 
-A text is factored against the reference blocks it shares anchors with (see ``repeats``; no other block can hold a window of it).
-From a place on, the longest stretch that the block holds elsewhere is a factor, found between its neighbours in the
-block's sorted suffixes; the next factor begins where it ends. Factors of WINDOW words or more are duplicate spans. A
-window that repeats as a whole can still straddle the boundary of two factors, as greedy factors begin anywhere; but it
-contains one boundary at most, as the factor from there on reaches its end. So the windows across each boundary are
-checked one by one.
+The reference blocks hold the passages of all texts by their anchors (see ``repeats``; no other block can hold a window of a text than those
+that its anchors name). In a block, the longest match of each place is found between its neighbours in the block's sorted suffixes.
+A whole document is then factored greedily: from a place on, the longest match in any of its blocks is a factor, and the next
+factor begins where it ends; a place that no block holds is a factor of one word. Factors of WINDOW words or more are
+duplicate spans. A window that repeats as a whole can still straddle the boundary of two factors, as greedy factors begin anywhere; but it
+contains one boundary at most, as the factor from there on reaches its end. So the places before each boundary are
+checked for matches of a window that go beyond it.
 
 Every word covered by a window that occurs elsewhere too, in the same text or another, is removed, in all its
 occurrences; windows are judged on the input.
 
-Rows: a null text has no words; texts of fewer words than a window lose nothing. Repeated rows are copies of each other,
+Rows: a null text has no words; texts of fewer words than a window lose nothing, very long ones are parsed whole. Repeated rows are copies of each other,
 and lose all windows. An empty table gives an empty table. Other columns are passed on.
 """
 
@@ -26,29 +27,59 @@ from pyspark.sql import functions as F
 
 from palisade.llm.repeats import CROWD, Symbols, mixed, spans, with_spans
 from palisade.llm.suffix_dedup import merged
-from palisade.llm.suffixes import Block, runs
+from palisade.llm.suffixes import Block, reaches
 
 WINDOW, GRAM = 35, 10
 WORDS = Symbols(WINDOW, GRAM, by_word=True)
 
 
-def factored(longest: np.ndarray, window: int) -> np.ndarray:
-    """Which windows repeat, from the longest match at each place of a context: greedy factors, then their boundaries."""
-    found = np.zeros(len(longest), bool)
-    at = 0
-    while at < len(longest):
-        n = int(longest[at])
-        if n >= window:
-            found[at : at + n - window + 1] = True  # all windows within the factor
-        boundary = at + max(n, 1)
-        straddling = slice(max(at + 1, boundary - window + 1), min(boundary, len(longest)))
-        found[straddling] |= longest[straddling] >= window
-        at = boundary
-    return found
+def factored(found: list[dict] | None, window: int = WINDOW, boundaries: bool = True) -> list[dict]:
+    """The duplicate spans of a document, from the matches of its places: greedy factors, then what straddles their boundaries.
+
+    found: places from start to last match up to end; ref and ref_start tell where the passage around them is found first."""
+    matches: list[tuple[int, int, int, dict]] = []  # (first, last, end) in order; of equal places the longest
+    for x in sorted(found or [], key=lambda x: (x["start"], -x["end"], x["last"])):
+        first = max(x["start"], matches[-1][1] + 1) if matches else x["start"]
+        if first <= x["last"]:
+            matches.append((first, x["last"], x["end"], x))
+    out: list[dict] = []
+
+    def duplicate(a: int, b: int, x: dict) -> None:
+        if b - a >= window:
+            out.append({"start": a, "end": b, "ref": x.get("ref"), "ref_start": x.get("ref_start", 0) + a - x["start"]})
+
+    at, i = 0, 0
+    while i < len(matches):
+        first, last, end, x = matches[i]
+        if last < at:
+            i += 1
+            continue
+        factor = max(at, first)  # the places before are factors of one word
+        at = end
+        duplicate(factor, end, x)
+        k = i
+        while boundaries and k < len(matches) and matches[k][0] < at:  # windows that begin in this factor and end beyond it
+            first, last, end, x = matches[k]
+            begin = max(first, at - window + 1, factor + 1)
+            if begin <= min(last, at - 1):
+                duplicate(begin, end, x)
+            k += 1
+    return out
+
+
+def factors(found: Column, window: int) -> Column:
+    kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ref", pa.int64()), ("ref_start", pa.int64())])
+
+    @F.arrow_udf("array<struct<start: bigint, end: bigint, ref: bigint, ref_start: bigint>>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([factored(x, window) or None for x in batch.to_pylist()], pa.list_(kind))
+
+    return of(found)
 
 
 def repeating(group: np.ndarray, rows: pa.Table, symbols: Symbols = WORDS) -> list[list[dict]]:
-    """Which windows of each context other contexts of its group have."""
+    """How far each window of a context matches other contexts of its group, if as a whole."""
     anchor = symbols.window - symbols.gram
     ids: dict[bytes, int] = {}
     words = [[ids.setdefault(w, len(ids) + 1) for w in c.split(b" ")] for c in rows["context"].to_pylist()]
@@ -62,18 +93,14 @@ def repeating(group: np.ndarray, rows: pa.Table, symbols: Symbols = WORDS) -> li
     order, shared = block.neighbours(row, col, bucket, symbols.window, matrix.shape[1])
     longest = np.zeros(len(order), np.int64)
     longest[order] = np.maximum(shared, np.append(shared[1:], 0))
-    table = np.zeros(matrix.shape, np.int64)
-    table[row, col] = longest
-    hit = np.zeros(matrix.shape, bool)
-    for r in np.unique(row[longest >= symbols.window]).tolist():
-        a, b = block.begin[r], block.end[r] - symbols.window + 1
-        hit[r, a:b] = factored(table[r, a:b], symbols.window)
-    return runs(*np.nonzero(hit), len(n), anchor)
+    long = longest >= symbols.window
+    return reaches(row[long], col[long], (col + longest)[long], len(n), anchor)
 
 
 def parsed(docs: DataFrame, symbols: Symbols = WORDS, crowd: int = CROWD) -> DataFrame:
-    """``docs`` and ``__spans``: of each text the factors (in words) that occur elsewhere, with where; they may overlap."""
-    return with_spans(docs, spans(docs, symbols, lambda group, rows: repeating(group, rows, symbols), all_copies=True, crowd=crowd))
+    """``docs`` and ``__spans``: of each text the factors (in words) that occur elsewhere, with the place where the passage around them is found first; they may overlap."""
+    found = spans(docs, symbols, lambda group, rows: repeating(group, rows, symbols), all_copies=True, crowd=crowd)
+    return with_spans(docs, found.withColumn("spans", factors(F.col("spans"), symbols.window)))
 
 
 def cut(text: str | None, found: list[dict] | None) -> tuple[int, list[bytes]]:

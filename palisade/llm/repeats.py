@@ -5,13 +5,16 @@ occur elsewhere are sought. No window is compared to all others. Each window has
 ``gram`` symbols, the one with the least hash, the leftmost of equal ones. Equal windows have equal anchors at the same
 place, so that only windows with the same anchor need to be compared, and neighbouring windows mostly share theirs.
 
-1. The hashes of all anchors are counted, packed, by ranges of hashes. Those that occur again set bits of a filter of
-   bounded size (the more bits, the fewer needless candidates; no candidate is lost).
+1. The hashes of all anchors are counted by Spark's aggregation, at most two of a hash from each batch. Those that occur again set bits
+   of a filter of bounded size (the more bits, the fewer needless candidates; no candidate is lost).
 2. Each anchor that passes gives an occurrence: where it is, and its context, which is all its windows' symbols.
    Equal contexts collapse by an aggregation that combines before the shuffle, so that a passage which a third of all
-   texts hold is one row a task. What is left of an anchor, its different contexts, is a block.
-3. The caller's ``resolve`` compares the contexts of a block, and tells which of their windows repeat.
-4. Verdicts go back to all occurrences, and the spans of each text are merged.
+   texts hold is one row a task. They are grouped by a 128-bit digest and compared by their bytes; should two differ, all starts anew
+   with another seed. What is left of an anchor, its different contexts, is a block.
+3. A block of more than CROWD contexts is divided: each of its windows has a second anchor by another hash, and those that share it
+   are a context of their own in a smaller block, which is divided again if need be. Equal windows share all their anchors.
+4. The caller's ``resolve`` compares the contexts of a block, and tells which of their windows repeat and how far they match.
+5. Verdicts go back to all occurrences, and the runs of each text are gathered.
 
 Rows: the operators on top of this say what they do with theirs. Texts are told apart by doc_id and a hash of the
 text; rows that agree in both are occurrences of their own, but get one verdict. A null doc_id is larger than any.
@@ -29,16 +32,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import bounded_batches, only_last, stored, text_key
+from palisade.llm.common import findable, stored, text_key, workspace
 
 #: Symbols that are hashed at once; longer texts go in pieces that overlap by a window.
 PIECE = 1 << 20
-#: Ranges of hashes for counting.
-RANGES = 128
-#: The filter's bits for each repeated anchor, and its bits at most (a power of 2).
-BITS_EACH, MOST_BITS = 64, 30
-#: Contexts whose bytes a task has sent already and needn't send again, at most.
-REMEMBERED = 300_000
+#: Parts of the filter, as a power of 2; its bits for each repeated anchor, and its bits at most (as a power of 2).
+PARTS, BITS_EACH, MOST_BITS = 7, 64, 30
+#: Bytes that a task has sent already and needn't send again, at most; then it forgets all and begins again.
+REMEMBERED = 64 << 20
 
 #: Stands for a null doc_id.
 LAST = (1 << 63) - 1
@@ -175,6 +176,13 @@ class Symbols:
             values = mixed(values + (end - begin).astype(np.uint64), 0x94D049BB133111EB)
         return values, begin, end
 
+    def read(self, context: bytes) -> tuple[np.ndarray, Callable[[int], int], Callable[[int], int]]:
+        """Values of the symbols of a context, and where a symbol begins and ends in it."""
+        values, *places = self.split(context)
+        if self.by_word:
+            return values, lambda i: int(places[0][i]), lambda i: int(places[1][i])
+        return byte_values()[values], lambda i: i, lambda i: i + 1
+
     def _run(self, run: list) -> tuple:
         values = np.concatenate([found[0][a:b] for _, a, b, found in run])
         if not self.by_word:
@@ -197,47 +205,40 @@ def doc_key(docs: DataFrame) -> list[Column]:
 
 
 def repeated(docs: DataFrame, hashes: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
-    """range, hashes: of the 64-bit hashes that ``hashes`` finds in texts, those that occur more than once, packed."""
+    """h: of the 64-bit hashes that ``hashes`` finds in texts, those that occur more than once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = hashes(_bytes(batch.column(0)))
-            h = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-            if len(h):
-                cut = np.searchsorted(h, np.arange(RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1))
-                parts = [x.tobytes() for x in np.split(h, cut[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(parts, pa.binary())], ["range", "hashes"])
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for r, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                kept.setdefault(r, []).append(h)
-        for r in list(kept):
-            h = np.sort(np.frombuffer(b"".join(kept.pop(r)), np.uint64))
-            twice = np.unique(h[1:][h[1:] == h[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([twice.tobytes()], pa.binary())], ["range", "hashes"])
+            if found and len(all_ := np.concatenate(found)):
+                h, n = np.unique(all_, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["h", "n"])
 
-    packed = docs.select("text").mapInArrow(count, "range int, hashes binary").filter(F.octet_length("hashes") > 0)
-    return stored(packed.repartition("range").mapInArrow(again, "range int, hashes binary"), "hashes")
+    counted = docs.select("text").mapInArrow(count, "h bigint, n int").groupBy("h").agg(F.sum("n").alias("n"))
+    return stored(counted.filter("n > 1").select("h"), "hashes")
 
 
 def bit_filter(found: DataFrame) -> np.ndarray:
     """Bits for the hashes that were found; no more than 2 ** MOST_BITS, whatever their number."""
-    n = (found.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // 8
-    bits = min(MOST_BITS, max(20, (n * BITS_EACH).bit_length()))
-    share = (1 << bits) // RANGES
+    bits = min(MOST_BITS, max(20, (found.count() * BITS_EACH).bit_length()))
+    share = 1 << bits - PARTS
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
         for batch in batches:
-            for r, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.zeros(share, np.uint8)
-                own[(np.frombuffer(h, np.uint64) >> np.uint64(64 - bits)).astype(np.int64) - r * share] = 1
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["range", "bits"])
+            at = (batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            for r in np.unique(at // share).tolist():
+                part = own.setdefault(r, np.zeros(share // 8, np.uint8))
+                flags = np.zeros(share, np.uint8)
+                flags[at[at // share == r] - r * share] = 1
+                part |= np.packbits(flags, bitorder="little")
+        for r, part in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "bits"])
 
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for r, part in found.mapInArrow(fill, "range int, bits binary").toLocalIterator():
-        out[r * share // 8 : (r + 1) * share // 8] = np.frombuffer(part, np.uint8)
+    parted = found.select(F.shiftrightunsigned("h", 64 - PARTS).alias("part"), "h").repartition("part")
+    for r, part in parted.mapInArrow(fill, "part int, bits binary").toLocalIterator():
+        out[r * share // 8 : (r + 1) * share // 8] |= np.frombuffer(part, np.uint8)
     return out
 
 
@@ -249,16 +250,18 @@ def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 OCCURRENCE = "did bigint, th bigint, at bigint, g bigint, c1 bigint, c2 bigint, before int, after int, context binary"
 
 
-def occurrences(docs: DataFrame, symbols: Symbols, bits: np.ndarray) -> DataFrame:
+def occurrences(docs: DataFrame, symbols: Symbols, bits: np.ndarray, seed: int = 0) -> DataFrame:
     """The anchors that pass the filter. before: symbols of the context before the anchor; after: from it on.
 
-    Its first window begins with the context and its last one ends with it. A task sends a context's bytes once."""
+    Its first window begins with the context and its last one ends with it. A task sends a context's bytes once; it
+    remembers them, so that other bytes of the same digest are sent too."""
     sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
     names = [x.split()[0] for x in OCCURRENCE.split(", ")]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(sent.value, np.uint8)
-        told: set[bytes] = set()
+        told: dict[bytes, bytes] = {}
+        held = 0
         for batch in batches:
             texts = _bytes(batch.column(2))
             did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -283,14 +286,15 @@ def occurrences(docs: DataFrame, symbols: Symbols, bits: np.ndarray) -> DataFram
                 before = at - first
                 heads = np.stack([g.view(np.int64), before], 1)
                 for i, context in enumerate(contexts):
-                    digest = xxhash.xxh3_128_digest(context + heads[i].tobytes())
+                    digest = xxhash.xxh3_128_digest(context + heads[i].tobytes(), seed)
                     digests.append(digest)
-                    if digest in told:
+                    if told.setdefault(digest, context) is not context and told[digest] == context:
                         contexts[i] = None
                     else:
-                        told.add(digest)
-                if len(told) > REMEMBERED:
+                        held += len(context) + 100
+                if held > REMEMBERED:
                     told.clear()
+                    held = 0
                 c = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 columns = [did[text], th[text], at + shift, g.view(np.int64), c[:, 0], c[:, 1], before.astype(np.int32), (last + symbols.window - at).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(contexts, pa.binary())], names)
@@ -298,67 +302,99 @@ def occurrences(docs: DataFrame, symbols: Symbols, bits: np.ndarray) -> DataFram
     return docs.select(*doc_key(docs), "text").mapInArrow(emit, OCCURRENCE)
 
 
-BLOCK = "g bigint, c1 bigint, c2 bigint, n bigint, did bigint, th bigint, at bigint, before int, after int, context binary"
-#: Which windows of a context repeat: starts relative to the anchor, from and to (inclusive).
-VERDICT = "g bigint, c1 bigint, c2 bigint, did bigint, th bigint, at bigint, n bigint, runs array<struct<first: int, last: int>>"
+#: Which windows of a context repeat: starts relative to the anchor, from and to (inclusive), and where the match of these ends.
+VERDICT = "g bigint, c1 bigint, c2 bigint, did bigint, th bigint, at bigint, n bigint, runs array<struct<first: int, last: int, end: int>>"
+RUN = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("end", pa.int32())])
 #: Contexts that a task resolves at once.
 ROWS = 20_000
-#: Contexts of a block from which on its windows are dealt out one by one.
-CROWD = 50_000
+#: Contexts of a block from which on it is divided.
+CROWD = 2_000
+#: How often blocks are divided at most; what shares so many anchors is the same but for a few symbols.
+LEVELS = 6
 
 Resolve = Callable[[np.ndarray, pa.Table], list[list[dict]]]
 
 
+class Collision(Exception):
+    """Two different contexts have the same digest."""
+
+
 def blocks(seen: DataFrame) -> DataFrame:
-    """The different contexts (BLOCK): how often each occurs, and its earliest occurrence."""
+    """The different contexts: how often each occurs, and its earliest occurrence. Equal digests are checked by the bytes."""
     key = F.min(F.struct("did", "th", "at")).alias("x")
-    got = seen.groupBy("g", "c1", "c2").agg(F.count("*").alias("n"), key, F.max("before").alias("before"), F.max("after").alias("after"), F.max("context").alias("context"))
-    return got.select("g", "c1", "c2", "n", "x.did", "x.th", "x.at", "before", "after", "context")
+    got = seen.groupBy("g", "c1", "c2").agg(F.count("*").alias("n"), key, F.max("before").alias("before"), F.max("after").alias("after"), F.max("context").alias("context"), F.min("context").alias("least"))
+    found = stored(got.select("g", "c1", "c2", "n", "x.did", "x.th", "x.at", "before", "after", "context", F.when(F.col("least") != F.col("context"), F.lit(1)).alias("differ")), "blocks")
+    if not found.filter("differ = 1").isEmpty():
+        raise Collision
+    return found.drop("differ")
 
 
-def verdicts(found: DataFrame, symbols: Symbols, resolve: Resolve, all_copies: bool, crowd: int = CROWD) -> DataFrame:
-    """VERDICT for each context of a block (``found`` is stored) that has several, or one that occurs again.
-
-    A block of more than ``crowd`` contexts, whose anchor is in a passage with very many surroundings, would burden one task;
-    its windows go by themselves, see ``window_verdicts``."""
-    crowded = stored(found.groupBy("g").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > crowd).select("g"), "crowded")
-    if crowded.isEmpty():
+def verdicts(found: DataFrame, symbols: Symbols, resolve: Resolve, all_copies: bool, crowd: int = CROWD, level: int = 1) -> DataFrame:
+    """VERDICT for each context of a block (``found`` is stored) that has several, or one that occurs again."""
+    large = stored(found.groupBy("g").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > crowd).select("g"), "crowded")
+    if level >= LEVELS or large.isEmpty():
         return block_verdicts(found, resolve)
-    usual, large = found.join(crowded, "g", "left_anti"), found.join(crowded, "g", "left_semi")
-    return block_verdicts(usual, resolve).unionByName(window_verdicts(large, symbols, all_copies))
-
-
-def window_verdicts(found: DataFrame, symbols: Symbols, all_copies: bool) -> DataFrame:
-    """The same by a row for each window: equal windows of a block are grouped by place and a 128-bit hash, combining before the shuffle."""
-    own = "g bigint, c1 bigint, c2 bigint, did bigint, th bigint, at bigint, n bigint"
-    names = [x.split()[0] for x in own.split(", ")]
+    parts = stored(divided(found.join(large, "g", "left_semi"), symbols, level), "parts")
+    judged = stored(verdicts(blocks(parts), symbols, resolve, all_copies, crowd, level + 1), "verdicts")
+    whole = parts.select("g", "c1", "c2", "did", "th", "at", "before", "after", F.struct("pg", "p1", "p2", "did", "th", "at", "pn").alias("owner"))
+    runs = applied(whole, judged, symbols, all_copies).groupBy("owner").agg(F.sort_array(F.collect_set("r")).alias("runs"))
+    names = dict(zip(("g", "c1", "c2", "did", "th", "at", "n"), ("pg", "p1", "p2", "did", "th", "at", "pn"), strict=True))
+    of_large = runs.select(*(F.col(f"owner.{old}").alias(new) for new, old in names.items()), "runs")
+    return block_verdicts(found.join(large, "g", "left_anti"), resolve).unionByName(of_large)
+
+
+def applied(seen: DataFrame, judged: DataFrame, symbols: Symbols, all_copies: bool) -> DataFrame:
+    """``seen`` (with did, th, at, before, after of an occurrence), ref (the earliest one of its context) and r, a run that repeats; null if none does."""
+    v = judged.select("g", "c1", "c2", "n", "runs", F.struct("did", "th", "at").alias("ref"))
+    joined = seen.join(v, ["g", "c1", "c2"], "left")
+    whole = F.array(F.struct((-F.col("before")).alias("first"), (F.col("after") - symbols.window).alias("last"), F.col("after").alias("end")))
+    own = F.struct("did", "th", "at") == F.col("ref")
+    runs = F.when((F.col("n") > 1) & (F.lit(all_copies) | ~own), whole).otherwise(F.col("runs"))
+    return joined.withColumn("r", F.explode_outer(runs)).drop("n", "runs")
+
+
+def divided(found: DataFrame, symbols: Symbols, level: int) -> DataFrame:
+    """The contexts of crowded blocks as smaller ones: those runs of their windows that share a second anchor, each with its parent (pg, p1, p2, pn).
+
+    The second anchor is the window's gram with the least value of a hash of this level; its place and bytes go into the new g."""
+    kept = "did bigint, th bigint, at bigint"
+    parent = "pg bigint, p1 bigint, p2 bigint, pn bigint"
+    schema = f"{kept}, {parent}, g bigint, c1 bigint, c2 bigint, before int, after int, context binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    odd = np.uint64((2 * level + 1) * int(ODD) % (1 << 64))
+    w = symbols.window - symbols.gram + 1
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, place, digests = [], [], []
-            for i, (context, before) in enumerate(zip(batch["context"].to_pylist(), batch["before"].to_pylist(), strict=True)):
-                parts = context.split(b" ") if symbols.by_word else context
-                for s in range(len(parts) - symbols.window + 1):
-                    part = parts[s : s + symbols.window]
-                    digests.append(xxhash.xxh3_128_digest(b" ".join(part) if symbols.by_word else part))
+            row, g, digests, before, after, contexts = [], [], [], [], [], []
+            head = batch["g"].to_pylist()
+            for i, (context, b) in enumerate(zip(batch["context"].to_pylist(), batch["before"].to_pylist(), strict=True)):
+                values, begin, end = symbols.read(context)
+                v = mixed(grams(values, symbols.gram) ^ odd, 0xBF58476D1CE4E5B9) & np.uint64(0xFFFFFFFFFFFF0000) | np.arange(len(values) - symbols.gram + 1, dtype=np.uint64)
+                at = np.lib.stride_tricks.sliding_window_view(v, w).min(1) & np.uint64(0xFFFF)
+                cut = np.flatnonzero(np.diff(at, prepend=at[0] ^ np.uint64(1))).tolist()
+                for s, last in zip(cut, [*(x - 1 for x in cut[1:]), len(at) - 1], strict=True):
+                    p = int(at[s])
+                    gram = context[begin(p) : end(p + symbols.gram - 1)]
+                    part = context[begin(s) : end(last + symbols.window - 1)]
+                    new = xxhash.xxh3_64_intdigest(gram + b"%d %d" % (p - b, head[i]), level)
                     row.append(i)
-                    place.append(s - before)
-            w = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(row, pa.int64())) for c in names), pa.array(place, pa.int32()), pa.array(w[:, 0]), pa.array(w[:, 1])], [*names, "place", "w1", "w2"])
+                    g.append(new)
+                    digests.append(xxhash.xxh3_128_digest(part + b"%d %d" % (new, b - s), level))
+                    before.append(b - s)
+                    after.append(last + symbols.window - b)
+                    contexts.append(part)
+            c = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            of = [batch[x].take(pa.array(row, pa.int64())) for x in ("did", "th", "at", "g", "c1", "c2", "n")]
+            own = [pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(before, pa.int32()), pa.array(after, pa.int32()), pa.array(contexts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*of, *own], names)
 
-    windows = stored(found.mapInArrow(split, f"{own}, place int, w1 bigint, w2 bigint"), "windows")
-    key = ["g", "place", "w1", "w2"]
-    least = windows.groupBy(*key).agg(F.min(F.struct("did", "th", "at")).alias("least"), F.count("*").alias("contexts")).filter("contexts > 1").select(*key, "least")
-    again = windows.join(least, key, "left")
-    hit = F.col("least").isNotNull() if all_copies else F.col("least").isNotNull() & (F.struct("did", "th", "at") != F.col("least"))
-    run = F.when(hit, F.struct(F.col("place").alias("first"), F.col("place").alias("last")))
-    return again.groupBy(*names).agg(F.sort_array(F.collect_set(run)).alias("runs"))
+    return found.mapInArrow(split, schema)
 
 
 def block_verdicts(found: DataFrame, resolve: Resolve) -> DataFrame:
     """VERDICT by ``resolve``, a block in a task."""
-    names = [x.split()[0] for x in VERDICT.replace(": ", ":").split(", ") if " " in x]
-    kinds = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+    names = ["g", "c1", "c2", "did", "th", "at", "n", "runs"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: pa.Table) -> pa.RecordBatch:
@@ -369,7 +405,7 @@ def block_verdicts(found: DataFrame, resolve: Resolve) -> DataFrame:
             keep = (np.bincount(group)[group] > 1) | (rows["n"].to_numpy() > 1)
             rows, group = rows.filter(pa.array(keep)), group[keep]
             runs = resolve(group, rows) if len(rows) else []
-            return pa.RecordBatch.from_arrays([rows[c].combine_chunks() if len(rows) else pa.array([], pa.int64()) for c in names[:-1]] + [pa.array(runs, kinds)], names)
+            return pa.RecordBatch.from_arrays([rows[c].combine_chunks() if len(rows) else pa.array([], pa.int64()) for c in names[:-1]] + [pa.array(runs, pa.list_(RUN))], names)
 
         kept: list[pa.RecordBatch] = []
         for batch in batches:
@@ -387,30 +423,32 @@ def block_verdicts(found: DataFrame, resolve: Resolve) -> DataFrame:
 
 
 def spans(docs: DataFrame, symbols: Symbols, resolve: Resolve, all_copies: bool, crowd: int = CROWD) -> DataFrame:
-    """did, th, spans: of each text with repeated windows, spans of symbols that these cover, with where the first occurrence is.
+    """did, th, spans: of each text with repeated windows, runs of these (starts from start to last, matching up to end), with where the first occurrence is.
 
     A context that occurs n > 1 times repeats with all its windows; all_copies tells if that holds for its earliest
     occurrence too, or only for the later ones. What ``resolve`` finds holds for the earliest (all_copies: for every) one."""
     spark = docs.sparkSession
-    bounded_batches(spark)
-    with only_last(spark):
-        docs = docs.select("doc_id", "text")
+    findable(spark)
+    docs = docs.select("doc_id", "text")
+    with workspace(spark):
         bits = bit_filter(repeated(docs, lambda texts: [anchors(v, e, symbols.window, symbols.gram).hash for v, e, *_ in symbols.pieces(texts)]))
-        seen = stored(occurrences(docs, symbols, bits), "occurrences")
-        judged = stored(verdicts(stored(blocks(seen), "blocks"), symbols, resolve, all_copies, crowd), "verdicts")
-        v = judged.select("g", "c1", "c2", "n", "runs", F.struct("did", "th", "at").alias("ref"))
-        joined = seen.drop("context").join(v, ["g", "c1", "c2"])
-        whole = F.array(F.struct((-F.col("before")).alias("first"), (F.col("after") - symbols.window).alias("last")))
-        own = F.struct("did", "th", "at") == F.col("ref")
-        runs = F.when((F.col("n") > 1) & (F.lit(all_copies) | ~own), whole).otherwise(F.col("runs"))
-        each = joined.select("did", "th", "at", "ref", F.explode(runs).alias("r"))
+        seed = 0
+        while True:
+            seen = stored(occurrences(docs, symbols, bits, seed), "occurrences")
+            try:
+                judged = stored(verdicts(blocks(seen), symbols, resolve, all_copies, crowd), "verdicts")
+                break
+            except Collision:
+                seed += 1
+        each = applied(seen.drop("context"), judged, symbols, all_copies).filter("r IS NOT NULL")
         span = F.struct(
             (F.col("at") + F.col("r.first")).alias("start"),
-            (F.col("at") + F.col("r.last") + symbols.window).alias("end"),
+            (F.col("at") + F.col("r.last")).alias("last"),
+            (F.col("at") + F.col("r.end")).alias("end"),
             F.col("ref.did").alias("ref"),
             (F.col("ref.at") + F.col("r.first")).alias("ref_start"),
         )
-        return stored(each.groupBy("did", "th").agg(F.sort_array(F.collect_set(span)).alias("spans")), "spans")
+        return stored(each.groupBy("did", "th").agg(F.sort_array(F.collect_set(span)).alias("spans")), "spans", keep=True)
 
 
 def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ Of each string of WINDOW bytes that occurs more than once, every byte of the lat
 larger doc_id, or further on in the same text. Strings are judged on the input; matches never cross texts. How
 occurrences meet is described in ``repeats``, how suffixes are sorted in ``suffixes``.
 
-Rows: a null text is empty; texts shorter than a string lose nothing. Texts of equal doc_id are ordered by a hash of the
+Rows: a null text is empty; texts shorter than a string lose nothing, very long ones are read whole, in overlapping pieces. Texts of equal doc_id are ordered by a hash of the
 text; rows that agree in doc_id and text are taken as one and the same, and lose what one of them would. A null doc_id is
 larger than any. An empty table gives an empty table. Other columns are passed on.
 """
@@ -39,14 +39,14 @@ def later(group: np.ndarray, rows: pa.Table, symbols: Symbols = BYTES) -> list[l
     row, col, bucket = block.suffixes(group, symbols.window)
     order, shared = block.neighbours(row, col, bucket, symbols.window, symbols.window)
     if not len(order):
-        return runs(row, col, len(n), anchor)
+        return runs(row, col, len(n), anchor, symbols.window)
     rank = np.empty(len(n), np.int64)
     rank[np.lexsort((rows["at"].to_numpy(), rows["th"].to_numpy(), rows["did"].to_numpy()))] = np.arange(len(n))
     row, col = row[order], col[order]
     begin = np.flatnonzero(shared < symbols.window)  # of each class of equal windows
     least = np.repeat(np.minimum.reduceat(rank[row], begin), np.diff(begin, append=len(order)))
     again = rank[row] > least
-    return runs(row[again], col[again], len(n), anchor)
+    return runs(row[again], col[again], len(n), anchor, symbols.window)
 
 
 def merged(found: list[dict] | None) -> list[tuple[int, int]]:

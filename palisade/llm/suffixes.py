@@ -129,14 +129,23 @@ class Block:
         return order, shared
 
 
-def runs(row: np.ndarray, col: np.ndarray, rows: int, anchor: int) -> list[list[dict]]:
-    """For each row, runs of window starts that follow each other, relative to the anchor's column."""
+def reaches(row: np.ndarray, col: np.ndarray, end: np.ndarray, rows: int, anchor: int) -> list[list[dict]]:
+    """For each row, runs of window starts that follow each other and match up to the same column, relative to the anchor's."""
     out: list[list[dict]] = [[] for _ in range(rows)]
     if len(row):
         order = np.lexsort((col, row))
-        row, col = row[order], col[order]
-        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1)]))
+        row, col, end = row[order], col[order], end[order]
+        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1) | (end[1:] != end[:-1])]))
         last = np.append(new[1:], len(row)) - 1
-        for r, a, b in zip(row[new].tolist(), (col[new] - anchor).tolist(), (col[last] - anchor).tolist(), strict=True):
-            out[r].append({"first": a, "last": b})
+        for r, a, b, e in zip(row[new].tolist(), (col[new] - anchor).tolist(), (col[last] - anchor).tolist(), (end[new] - anchor).tolist(), strict=True):
+            out[r].append({"first": a, "last": b, "end": e})
+    return out
+
+
+def runs(row: np.ndarray, col: np.ndarray, rows: int, anchor: int, window: int) -> list[list[dict]]:
+    """For each row, runs of window starts that follow each other, and where the last of their windows ends."""
+    out = reaches(row, col, np.zeros(len(col), np.int64), rows, anchor)
+    for found in out:
+        for x in found:
+            x["end"] = x["last"] + window
     return out

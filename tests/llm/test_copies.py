@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from palisade.llm import line_dedup, queries, relative_lz, repeats, simhash, suffix_dedup, suffixes
 from tests.compare import TABLES
@@ -264,10 +265,54 @@ def test_colliding_hashes_are_found():
     assert shared.tolist() == [0, 4, 1, 4, 0]
 
 
+def covered(found):
+    return {i for x in found for i in range(x["start"], x["end"])}
+
+
 def test_factors_and_their_boundaries():
-    assert relative_lz.factored(np.array([6, 5, 4, 3, 2, 1]), 4).tolist() == [True, True, True, False, False, False]
-    assert relative_lz.factored(np.array([3, 5, 4, 3, 0]), 4).tolist() == [False, True, True, False, False]
-    assert relative_lz.factored(np.array([], np.int64), 4).tolist() == []
+    assert covered(relative_lz.factored([{"start": 0, "last": 2, "end": 6}], 4)) == set(range(6))
+    assert covered(relative_lz.factored([{"start": 1, "last": 2, "end": 6}], 4)) == set(range(1, 6))
+    assert relative_lz.factored(None) == []
+    # two passages that overlap: the second one's first windows straddle the end of the first factor
+    two = [{"start": 0, "last": 2, "end": 6}, {"start": 3, "last": 5, "end": 9}]
+    assert covered(relative_lz.factored(two, 4)) == set(range(9))
+    assert covered(relative_lz.factored(two, 4, boundaries=False)) == set(range(6))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.integers(0, 8)), max_size=16), st.integers(1, 6))
+def test_factors_cover_all_matching_windows(moves, window):
+    reach, end = [], 0
+    for i, (new, n) in enumerate(moves):
+        end = max(end, min(len(moves), i + n) if new else i)
+        reach.append(max(end, i))
+    found = [{"start": i, "last": i, "end": e} for i, e in enumerate(reach) if e - i >= window]
+    assert covered(relative_lz.factored(found, window)) == {k for i, e in enumerate(reach) if e - i >= window for k in range(i, e)}
+
+
+def test_factors_need_their_boundaries(spark, monkeypatch):
+    """Without the check of boundaries, words of op9's table would stay."""
+    whole = by_words(spark.read.parquet(f"{TABLES}/documents.parquet"), relative_lz.WORDS)
+    assert whole == sorted(slow_words(documents(), 35), key=repr)
+    found = [[x.asDict() for x in r.spans] for r in repeats.spans(spark.read.parquet(f"{TABLES}/documents.parquet"), relative_lz.WORDS, relative_lz.repeating, all_copies=True).collect()]
+    assert any(covered(relative_lz.factored(x)) > covered(relative_lz.factored(x, boundaries=False)) for x in found)
+
+
+def test_equal_digests_of_different_contexts(spark, monkeypatch):
+    """A seed whose digests collide is given up."""
+    rows = list(enumerate(texts(5, 30, 3)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    tried = []
+    real = repeats.occurrences
+
+    def colliding(docs, symbols, bits, seed):
+        out = real(docs, symbols, bits, seed)
+        tried.append(seed)
+        return out.withColumn("c2", F.lit(0).cast("long")).withColumn("c1", F.lit(0).cast("long")) if seed == 0 else out
+
+    monkeypatch.setattr(repeats, "occurrences", colliding)
+    assert by_words(docs, repeats.Symbols(5, 2, True)) == sorted(slow_words(rows, 5), key=repr)
+    assert tried == [0, 1]
 
 
 def test_repeats_of_odd_rows(spark):
