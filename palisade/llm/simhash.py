@@ -13,8 +13,8 @@ returns a spanning forest of the links it found, never all pairs.
 Components come from rounds of large-star and small-star, each round stored; no round gathers a node's links in one task.
 
 Rows: a null text, or one without words, has fingerprint 0 and is linked like any other. Fewer words than a shingle
-make one. The representative is the smallest doc_id, a null one being larger than any. Repeated rows are duplicates of each other. An empty
-table gives an empty table. Other columns are passed on by ``deduplicated``.
+make one. Very long texts are read whole. The representative is the smallest doc_id, a null one being larger than any. Repeated rows are
+duplicates of each other. An empty table gives an empty table. Other columns are passed on by ``deduplicated``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import bounded_batches, stored
+from palisade.llm.common import findable, kept, stored, workspace
 
 SHINGLE, RADIUS = 3, 3
 #: Members of a bucket, or of a part of one, at most (parts are dealt by hash, so by and large).
@@ -97,35 +97,40 @@ def buckets(distinct: DataFrame, radius: int, blocks: int) -> DataFrame:
     return distinct.select("fp", F.posexplode(F.array(*(key(c) for c in chosen))).alias("t", "key"))
 
 
-def dealt(rows: DataFrame, split: int = SPLIT) -> DataFrame:
-    """rows with the part they are in and the pair of parts (low, high) that is to be compared."""
+def dealt(rows: DataFrame, split: int = SPLIT, by: str = "fp") -> DataFrame:
+    """rows (t, key, and what ``by`` deals) with the part they are in and the pair of parts (low, high) that is to be compared."""
     large = rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("t", "key", F.ceil(F.col("n") / split).cast("int").alias("parts"))
     parted = rows.join(large, ["t", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    parted = parted.withColumn("part", F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), "parts").cast("int")))
+    parted = parted.withColumn("part", F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(by), "parts").cast("int")))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    return parted.select("t", "key", "fp", "part", other).select("t", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "fp")
+    own = [c for c in rows.columns if c not in ("t", "key")]
+    return parted.select("t", "key", *own, "part", other).select("t", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", *own)
 
 
 def planes(words: np.ndarray) -> np.ndarray:
-    """(w, 64) fingerprints, a row for the lanes of a word, to (w, 64) words, one for each bit plane."""
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view(np.uint64).reshape(-1, 64)
+    """(w, 64, k) words of fingerprints, a row for the lanes of a word, to (w, 64 * k) words, one for each bit plane."""
+
+    def turned(x: np.ndarray) -> np.ndarray:
+        bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
+        return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view(np.uint64).reshape(-1, 64)
+
+    return np.concatenate([turned(words[:, :, i]) for i in range(words.shape[2])], axis=1)
 
 
 def within(queries: np.ndarray, plane: np.ndarray, word: np.ndarray, radius: int) -> np.ndarray:
-    """For each entry (a query and the word it is compared to): the lanes at most ``radius`` bits away, as bits of a word."""
+    """For each entry (a query, as words, and the word of lanes it is compared to): the lanes at most ``radius`` bits away, as bits of a word."""
     bits = max(1, radius.bit_length())
     out = np.zeros(len(queries), np.uint64)
     alive = np.arange(len(queries))
     counter = [np.zeros(len(queries), np.uint64) for _ in range(bits)]
     over = np.zeros(len(queries), np.uint64)  # lanes with 2 ** bits differences or more
     q, w = queries, word
-    for p in range(64):
-        carry = plane[w, p] ^ (np.uint64(0) - (q >> np.uint64(p) & np.uint64(1)))
+    for p in range(plane.shape[1]):
+        carry = plane[w, p] ^ (np.uint64(0) - (q[:, p >> 6] >> np.uint64(p & 63) & np.uint64(1)))
         for i in range(bits):
             counter[i], carry = counter[i] ^ carry, counter[i] & carry
         over |= carry
-        if p % 8 == 7 and p < 63:
+        if p % 8 == 7 and p < plane.shape[1] - 1:
             left = np.flatnonzero(over != ALL)
             if len(left) < 0.75 * len(alive):  # abandon the entries beyond the radius in every lane
                 alive, q, w, over = alive[left], q[left], w[left], over[left]
@@ -155,13 +160,13 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def linked(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links, as a forest, of fingerprints in sorted groups. side: 0 is only compared to 1, 2 to all 2 of its group."""
-    order = np.lexsort((side, group))
-    group, side, fp = group[order], side[order], fp[order]
+def near_pairs(group: np.ndarray, side: np.ndarray, words: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (the lesser first) whose fingerprints (rows of words) are within the radius, in parts.
+
+    Rows are sorted by group and side. side: 0 is only compared to 1, 2 to all 2 of its group."""
     lane = np.flatnonzero(side > 0)  # what is compared to
     if not len(lane):
-        return fp[:0], fp[:0]
+        return
     g = group[lane]
     start = np.flatnonzero(np.diff(g, prepend=g[0] - 1))
     rank = np.arange(len(g)) - np.repeat(start, np.diff(start, append=len(g)))
@@ -170,7 +175,7 @@ def linked(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) ->
     at = np.repeat(first, np.diff(start, append=len(g))) + rank // 64
     members = np.zeros((int(per.sum()), 64), np.int64) - 1
     members[at, rank % 64] = lane
-    plane = planes(np.where(members >= 0, fp[np.maximum(members, 0)], np.uint64(0)))
+    plane = planes(np.where((members >= 0)[:, :, None], words[np.maximum(members, 0)], np.uint64(0)))
     valid = np.packbits(members >= 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
     query = np.flatnonzero(side != 1)
     slot = np.searchsorted(g[start], group[query])
@@ -180,27 +185,35 @@ def linked(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) ->
     query, slot = query[ok], slot[ok]
     n = per[slot]
     ends = np.cumsum(n)
-    found_a, found_b = [], []
     begin = 0
     while begin < len(query):
-        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + ENTRIES)))
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + ENTRIES // words.shape[1])))
         k = n[begin:end]
         q = np.repeat(query[begin:end], k)
         w = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[slot[begin:end]], k)
-        near = within(fp[q], plane, w, radius) & valid[w]
+        near = within(words[q], plane, w, radius) & valid[w]
         hit = np.flatnonzero(near)
         for i in range(0, len(hit), 1 << 14):
             part = hit[i : i + (1 << 14)]
             row, lanes = np.nonzero(np.unpackbits(near[part].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             a, b = q[part][row], members[w[part][row], lanes]
             a, b = a[a != b], b[a != b]
-            found_a.append(np.minimum(a, b))
-            found_b.append(np.maximum(a, b))
+            yield np.minimum(a, b), np.maximum(a, b)
+        begin = end
+
+
+def linked(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as a forest, of fingerprints in sorted groups; sides as in ``near_pairs``."""
+    order = np.lexsort((side, group))
+    group, side, fp = group[order], side[order], fp[order]
+    found_a, found_b = [], []
+    for a, b in near_pairs(group, side, fp[:, None], radius):
+        found_a.append(a)
+        found_b.append(b)
         if sum(map(len, found_a)) > ENTRIES:  # keep only a forest of what was found so far
             root = forest(np.concatenate(found_a), np.concatenate(found_b), len(fp))
             tied = np.flatnonzero(root != np.arange(len(fp)))
             found_a, found_b = [root[tied]], [tied]
-        begin = end
     if not found_a:
         return fp[:0], fp[:0]
     root = forest(np.concatenate(found_a), np.concatenate(found_b), len(fp))
@@ -208,76 +221,93 @@ def linked(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) ->
     return fp[tied], fp[root[tied]]
 
 
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Sorted batches as tables of whole groups, of so many rows by and large."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            table = pa.Table.from_batches(held)
+            same = np.ones(len(table), bool)
+            for c in keys:
+                same &= table[c].to_numpy() == table[c][-1].as_py()
+            cut = len(table) - int(same.sum())  # the last group may go on
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held)
+
+
+def groups_of(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Numbers of the groups of a sorted table's rows."""
+    new = np.zeros(len(table), bool)
+    for c in keys:
+        x = table[c].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.cumsum(new)
+
+
+PAIR = ["t", "key", "low", "high"]
+
+
+def sides(table: pa.Table) -> np.ndarray:
+    """What the rows of a pair of parts are compared to."""
+    low, high = table["low"].to_numpy(), table["high"].to_numpy()
+    return np.where(low == high, 2, (table["part"].to_numpy() == high).astype(np.int64))
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """a, b: links between different fingerprints (column fp of ``distinct``) that connect all that are within the radius."""
     rows = dealt(buckets(distinct, radius, block_count(distinct.count(), radius)), split)
-    keys = ["t", "key", "low", "high"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(table: pa.Table) -> pa.RecordBatch:
-            k = [table[c].to_numpy() for c in keys]
-            new = np.zeros(len(table), bool)
-            for c in k:
-                new[1:] |= c[1:] != c[:-1]
-            low, high, part = k[2], k[3], table["part"].to_numpy()
-            side = np.where(low == high, 2, (part == high).astype(np.int64))
-            a, b = linked(np.cumsum(new), side, table["fp"].to_numpy().view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        kept: list[pa.RecordBatch] = []
-        for batch in batches:
-            kept.append(batch)
-            if sum(map(len, kept)) >= ROWS:
-                table = pa.Table.from_batches(kept)
-                last = [table[c][-1].as_py() for c in keys]
-                same = np.ones(len(table), bool)
-                for c, x in zip(keys, last, strict=True):
-                    same &= table[c].to_numpy() == x
-                cut = len(table) - int(same.sum())  # the last group may go on
-                if cut:
-                    yield done(table.slice(0, cut))
-                kept = table.slice(cut).combine_chunks().to_batches()
-        if kept and sum(map(len, kept)):
-            yield done(pa.Table.from_batches(kept))
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint").distinct()
+        for table in by_group(batches, PAIR, ROWS):
+            a, b = linked(groups_of(table, PAIR), sides(table), table["fp"].to_numpy().view(np.uint64), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    return rows.repartition(*PAIR).sortWithinPartitions(*PAIR).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: of every node with an edge (a, b: longs), the smallest node that edges lead to."""
-    pairs = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = stored(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
-        pairs = stored(small, "small")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+    with workspace(edges.sparkSession):
+        pairs = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+        before = None
+        while True:
+            with workspace(edges.sparkSession):
+                both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+                least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+                large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+                large = stored(large, "large")
+                least = large.groupBy("u").agg(F.min("v").alias("m"))
+                small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
+                pairs = stored(small, "small", keep=True)
+            now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == before:
+                return kept(pairs).select(F.col("u").alias("node"), F.col("v").alias("root"))
+            before = now
 
 
 def grouped(rows: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """``rows`` (stored; doc_id, fp), root, a fingerprint that stands for the group, and component_id, its smallest doc_id."""
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    nodes = components(links(distinct, radius, split))
-    tied = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    roots = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = tied.join(roots, "root").select(F.col("fp").alias("__fp"), "root", "component_id")
+    with workspace(rows.sparkSession):
+        distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+        nodes = components(links(distinct, radius, split))
+        tied = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+        roots = tied.groupBy("root").agg(F.min("least").alias("component_id"))
+        of = stored(tied.join(roots, "root").select(F.col("fp").alias("__fp"), "root", "component_id"), "roots", keep=True)
     return rows.join(of, rows["fp"] == of["__fp"]).drop("__fp")
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One document of each group, that of the smallest doc_id (of rows that share it, one); with the columns of ``docs``."""
-    bounded_batches(docs.sparkSession)
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "doc_id", "text")
-    whole = stored(packed.withColumn("fp", fingerprints(F.col("text"), shingle)).drop("text").withColumn("rid", F.monotonically_increasing_id()), "fingerprinted")
-    groups = grouped(whole.select("doc_id", "fp", "rid"), radius)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x"))
-    kept = stored(first.select(F.col("x.rid").alias("__rid")), "kept")
+    findable(docs.sparkSession)
+    with workspace(docs.sparkSession):
+        packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "doc_id", "text")
+        whole = stored(packed.withColumn("fp", fingerprints(F.col("text"), shingle)).drop("text").withColumn("rid", F.monotonically_increasing_id()), "fingerprinted", keep=True)
+        groups = grouped(whole.select("doc_id", "fp", "rid"), radius)
+        first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x"))
+        left = stored(first.select(F.col("x.rid").alias("__rid")), "kept", keep=True)
     # always a merge join: the plan, and what it shuffles, is the same at every size
-    return whole.join(kept.hint("merge"), whole["rid"] == kept["__rid"], "left_semi").select("__row.*")
+    return whole.join(left.hint("merge"), whole["rid"] == left["__rid"], "left_semi").select("__row.*")
