@@ -1,65 +1,53 @@
 """The corpus pipeline: documents that pass the quality rules, without repeated runs of lines, near copies and benchmark
 passages, as byte-level BPE.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet, which the next stage reads.
-All but the last return the columns of ``documents``. As a stage's result is written before the next one begins, that
-one's first step is to delete the tables which the stage before has stored on its way.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet, which the next stage reads.
+All but the last return the columns of ``documents``. A stage can also be chained lazily: what its result still reads belongs to the
+workspace of the caller (``run`` opens one for each stage and deletes what it stored as soon as its result is written).
+
+Rows, for every stage: an empty table gives an empty table; other columns are passed on, whatever their names, but by the last stage, which returns its own.
+Very long texts are taken whole.
+quality_rules: null and empty texts fail; repeated rows are judged each for itself; null lang or source is a group of its own.
+line_chunks: null texts stay null, empty ones empty; of rows equal in doc_id and text each keeps what the first keeps; n_chars follows the text.
+near_duplicates: texts without words, null ones too, are copies of each other; of repeated rows one stays; a null doc_id is larger than any.
+decontamination: null and empty texts have no hits and stay; repeated rows are judged each for itself; an empty benchmark removes nothing.
+byte_bpe: a null text counts as empty; repeated rows give equal rows; doc_id is passed on, null too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import decontaminate, line_dedup, near, quality, tokenizer
-from palisade.llm.common import created, drop_stored, stored, table
+from palisade.llm.common import kept, release, stored, table, workspace
 from palisade.llm.queries import tokenizer_files
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_of_last_stage: list[str] = []
 
 
-def stage(f: Stage) -> Stage:
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _of_last_stage:
-            drop_stored(spark, _of_last_stage.pop())
-        before = len(created)
-        out = f(spark, docs, sf_dir)
-        _of_last_stage.extend(created[before:])
-        return out
-
-    return run_stage
-
-
-@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules go."""
     return quality.filtered(docs)
 
 
-@stage
 def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines that an earlier document has go from the texts."""
     return line_dedup.deduplicated(docs)
 
 
-@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (similarity of 5-word shingles 0.8 or more) stays, that of the smallest doc_id."""
     return near.deduplicated(docs)
 
 
-@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-@stage
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, their number and digest, and the digest of what they decode to."""
     path, pattern = tokenizer_files()
@@ -80,7 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, f in STAGES:
-        docs = stored(f(spark, docs, sf_dir), name)
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    with workspace(spark):
+        for name, f in STAGES:
+            with workspace(spark):
+                docs = stored(f(spark, docs, sf_dir), name, keep=True)
+            if before is not None:
+                release(before)
+            before = docs
+        return kept(docs)
