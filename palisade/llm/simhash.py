@@ -111,8 +111,8 @@ def planes(words: np.ndarray) -> np.ndarray:
     """(w, 64, k) words of fingerprints, a row for the lanes of a word, to (w, 64 * k) words, one for each bit plane."""
 
     def turned(x: np.ndarray) -> np.ndarray:
-        bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
-        return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view(np.uint64).reshape(-1, 64)
+        bits = np.unpackbits(np.frombuffer(x.tobytes(), np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
+        return np.frombuffer(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").tobytes(), np.uint64).reshape(-1, 64)
 
     return np.concatenate([turned(words[:, :, i]) for i in range(words.shape[2])], axis=1)
 

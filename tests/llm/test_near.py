@@ -5,7 +5,6 @@ import random
 import corpus_pipeline
 from palisade.llm import near, simhash
 from tests.compare import TABLES
-from tests.llm import test_pipeline
 from tests.llm.fixtures import ODD, odd_docs
 
 
@@ -73,9 +72,30 @@ def test_near_copies_of_odd_rows(spark):
     assert near.deduplicated(docs.limit(0)).count() == 0
 
 
-def test_the_pipeline_by_a_plain_version(spark, monkeypatch):
-    """As test_pipeline's, but with near copies by the similarity of 5-word shingles."""
-    monkeypatch.setattr(test_pipeline, "slow_fingerprint", lambda t: t)
-    monkeypatch.setattr(test_pipeline, "slow_components", lambda texts, _: slow_roots(texts))
-    expected = test_pipeline.slow_pipeline()
-    assert sorted(map(tuple, corpus_pipeline.run(spark, TABLES).collect())) == expected
+def test_sketches_of_near_copies_are_close():
+    """All pairs of similarity 0.8 or more among edited texts are within the radius; others mostly aren't."""
+    rows = [t for _, t in edited() if t and t.strip()]
+    sets = [near.shingles(near.words(t)) for t in rows]
+    sketches = [int.from_bytes(near.sketch(near.hashes(near.words(t))), "big") for t in rows]
+    far = []
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                assert (sketches[i] ^ sketches[j]).bit_count() <= near.RADIUS
+            elif not both:
+                far.append((sketches[i] ^ sketches[j]).bit_count() > near.RADIUS)
+    assert sum(far) > 0.99 * len(far)
+
+
+def test_buckets_in_parts(spark):
+    rows = edited()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in near.deduplicated(docs, split=2).collect()) == [rows[i][0] for i, r in enumerate(slow_roots([t for _, t in rows])) if i == r]
+
+
+def test_near_copies_of_the_real_table(spark):
+    """Of all pairs of similarity 0.8 or more in the table, every one is connected."""
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text").dropDuplicates(["doc_id"])
+    rows = sorted(map(tuple, docs.collect()))
+    assert sorted(r.doc_id for r in near.deduplicated(docs).collect()) == [rows[i][0] for i, r in enumerate(slow_roots([t for _, t in rows])) if i == r]

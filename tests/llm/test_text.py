@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import string
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -35,6 +37,46 @@ def slow_measures(text):
     return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
+def slow_kept(rows):
+    """doc_id, text of the rows (doc_id, text, lang, source) that the quality rules keep: exact fences from the sketch's cells, by sorting."""
+    cell = lambda v: v if v < 64 else v >> v.bit_length() - 6 << v.bit_length() - 6
+    measured, sketch = [], {}
+    for d, t, lang, source in rows:
+        words, chars, _, dup, repeat = slow_measures(t)
+        lines = len([x for x in (t or "").split("\n") if x.encode().split()])
+        marks = sum(c in string.punctuation for c in t or "")
+        one = lambda a, b: a * 1000 // max(b, 1)
+        rates = {"punctuation": one(marks, chars), "dup_lines": one(dup, lines), "repeats": one(repeat, words), "long_words": one(chars, words), "short_words": one(chars, words)}
+        base = words < 50 or 100 * repeat > 50 * words
+        measured.append((d, t, lang, source, base, rates))
+        for k, v in rates.items() if not base else ():
+            for key in ((lang, source), (lang,), ()):
+                sketch.setdefault((k, key), Counter())[cell(v)] += 1
+    out = []
+    for d, t, lang, source, base, rates in measured:
+        ok = not base
+        for k, v in rates.items() if ok else ():
+            mixed = Counter({b: 1000 * n for b, n in sketch[k, (lang, source)].items()})
+            for key, weight in (((lang,), 200_000), ((), 50_000)):
+                whole = sketch[k, key]
+                mixed.update({b: n * weight // sum(whole.values()) for b, n in whole.items()})
+            p, q, factor = quality.RULES[k]
+
+            def quantile(percent, mixed=mixed):
+                upto = 0
+                for b in sorted(mixed):
+                    upto += mixed[b]
+                    if 100 * upto >= percent * sum(mixed.values()):
+                        return b
+
+            x, y = quantile(p), quantile(q)
+            far = max(factor * abs(x - y), 5 + x // 16)
+            ok &= v >= x - far if k == "short_words" else v <= x + far
+        if ok:
+            out.append((d, t))
+    return out
+
+
 def test_measures(spark):
     rows = [(d, t) for d, t in ODD if len(t or "") < 9000] + [(20 + i, t) for i, t in enumerate(texts(5, 25))]
     rows += [(90, "a b c a b c"), (91, "a b c x a b c"), (92, "a a a"), (93, "a a a a"), (94, "#x $y <b>\nq\nq\n \nq"), (95, "\x85a b \x0b c")]
