@@ -10,7 +10,8 @@ agree in all ROWS minima of a band share a bucket. Those of similarity s share n
 
 First each text is compared with the smallest of each of its buckets. Then, in buckets whose texts these links haven't
 connected, sketches are compared as fingerprints are in ``simhash``: bit planes, carry-save counters, blocks abandoned; large
-buckets are dealt into pairs of parts. A task passes on only those pairs that are within the radius and aren't connected yet. A link is made
+buckets are dealt into pairs of parts. The texts come with them, and a task verifies the pairs within the radius that aren't connected yet itself: it returns a forest of links, never
+pairs that turn out not to be similar. A link is made
 of pairs only whose shingles themselves, not hashes, have the similarity asked for.
 
 Words are parted by ASCII white space. Fewer words than a shingle make one. Texts without words, null ones too, are copies of each other.
@@ -40,7 +41,7 @@ BANDS, ROWS = 20, 4
 #: Bits of a sketch, and how many of them may differ in near copies.
 WIDTH, RADIUS = 512, 127
 #: Rows whose sketches a task compares at once.
-COMPARED = 1 << 14
+COMPARED = 1 << 13
 #: Shingles whose hashes are mixed at once.
 AT_ONCE = 2_048
 _rng = np.random.default_rng(42)
@@ -126,8 +127,45 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").filter(similar(F.col("text_a"), F.col("text_b"))).select("a", "b")
 
 
-def sketched_pairs(rows: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """a, b (rid): of rows (t, key, rid, root, sketch) in one bucket, those within the radius that aren't connected."""
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets of hashes have the similarity; sets of shingles that have it always pass."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= SIMILARITY * (len(a) + len(b) - both)
+
+
+def linked(rid: np.ndarray, root: np.ndarray, texts: list[str | None], pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """Links among pairs of rows, of those that neither their roots nor links found before connect. A row can occur several times."""
+    over: dict[int, int] = {}  # roots that links have joined
+
+    def top(x: int) -> int:
+        while (y := over.get(x, x)) != x:
+            over[x] = over.get(y, y)
+            x = y
+        return x
+
+    sets: dict[int, np.ndarray] = {}
+    out = []
+    for a, b in pairs:
+        apart = root[a] != root[b]
+        for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            x, y = top(int(root[i])), top(int(root[j]))
+            if x == y:
+                continue
+            for k in (i, j):
+                if int(rid[k]) not in sets:
+                    sets[int(rid[k])] = np.unique(hashes(words(texts[k])))
+            if not alike(sets[int(rid[i])], sets[int(rid[j])]):
+                continue
+            one, two = shingles(words(texts[i])), shingles(words(texts[j]))
+            both = len(one & two)
+            if 100 * both >= SIMILARITY * (len(one) + len(two) - both):
+                over[max(x, y)] = min(x, y)
+                out.append((min(int(rid[i]), int(rid[j])), max(int(rid[i]), int(rid[j]))))
+    return out
+
+
+def sketched_links(rows: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
+    """a, b (rid): a forest of the links between rows (t, key, rid, root, text, sketch) of one bucket that aren't connected."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_group(batches, PAIR, COMPARED):
@@ -135,29 +173,28 @@ def sketched_pairs(rows: DataFrame, radius: int = RADIUS, split: int = SPLIT) ->
             order = np.lexsort((side, group))
             words_ = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(table), -1)[order]
             rid, root = table["rid"].to_numpy()[order], table["root"].to_numpy()[order]
-            for a, b in near_pairs(group[order], side[order], words_, radius):
-                apart = root[a] != root[b]
-                a, b = rid[a[apart]], rid[b[apart]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            texts = table["text"].take(pa.array(order)).to_pylist()
+            found = linked(rid, root, texts, near_pairs(group[order], side[order], words_, radius))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
     parts = dealt(rows, split, by="rid")
     return parts.repartition(*PAIR).sortWithinPartitions(*PAIR).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def links(members: DataFrame, texts: DataFrame, sketches: DataFrame, split: int = SPLIT) -> DataFrame:
+def links(members: DataFrame, texts: DataFrame, split: int = SPLIT) -> DataFrame:
     """node, root: of every text with a link, the smallest text that links lead to.
 
-    members: rid, t, key, least of buckets of two or more. texts: rid, text. sketches: rid, sketch."""
+    members: rid, t, key, least of buckets of two or more. texts: rid, text, sketch."""
     with workspace(members.sparkSession):
-        pairs = stored(members.filter("rid <> least").select(F.col("least").alias("a"), F.col("rid").alias("b")).distinct(), "pairs")
-        found = stored(verified(pairs, texts), "links")
+        pairs = members.filter("rid <> least").select(F.col("least").alias("a"), F.col("rid").alias("b")).distinct()
+        found = stored(verified(pairs, texts.select("rid", "text")), "links")
         roots = components(found)
         tied = members.join(roots.hint("merge"), members["rid"] == roots["node"], "left").select("t", "key", "rid", F.coalesce("root", "rid").alias("root"))
         tied = stored(tied, "tied")
         parted = tied.groupBy("t", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("t", "key")
-        rest = stored(tied.join(parted.hint("merge"), ["t", "key"], "left_semi").join(sketches.hint("merge"), "rid"), "parted")
-        met = stored(sketched_pairs(rest, split=split).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "met")
-        more = stored(verified(met, texts), "more_links")
+        rest = stored(tied.join(parted.hint("merge"), ["t", "key"], "left_semi").join(texts.hint("merge"), "rid"), "parted")
+        more = stored(sketched_links(rest, split=split), "more_links")
         whole = roots if more.isEmpty() else components(found.unionByName(more))
         return stored(whole, "roots", keep=True)
 
@@ -177,7 +214,7 @@ def deduplicated(docs: DataFrame, split: int = SPLIT) -> DataFrame:
         members = stored(keys.join(stored(shared, "buckets").hint("merge"), ["t", "key"]), "members")
         met = whole.select("rid", F.col("__row.text").alias("text"), "sketch").join(members.select("rid").distinct().hint("merge"), "rid", "left_semi")
         met = stored(met, "texts")
-        nodes = links(members, met.select("rid", "text"), met.select("rid", "sketch"), split)
+        nodes = links(members, met, split)
         tied = distinct.join(nodes.hint("merge"), distinct["rid"] == nodes["node"], "left").select(F.coalesce("root", "rid").alias("root"), "first")
         left = stored(tied.groupBy("root").agg(F.min("first").alias("x")).select(F.col("x.rid").alias("__rid")), "kept", keep=True)
     # always a merge join: the plan, and what it shuffles, is the same at every size

@@ -57,8 +57,8 @@ def test_texts_not_like_the_smallest_of_their_bucket(spark):
     texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "xy"] + [" ".join(f"y{i}" for i in range(59))]
     rows = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
     members = spark.createDataFrame([(i, 0, 0, 0) for i in range(3)], "rid long, t int, key long, least long")
-    sketches = rows.select("rid", near.signed(rows.text).sketch.alias("sketch"))
-    assert [tuple(r) for r in near.links(members, rows, sketches).collect()] == [(2, 1)]
+    rows = rows.withColumn("sketch", near.signed(rows.text).sketch)
+    assert [tuple(r) for r in near.links(members, rows).collect()] == [(2, 1)]
 
 
 def test_near_copies_of_odd_rows(spark):
