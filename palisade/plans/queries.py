@@ -257,6 +257,12 @@ def planted_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.planted(told(alerts(spark, sf_dir))).select("alert_type", "source_ip", "window_start_ms", "planted")
 
 
+@query(O.query("SELECT alert_type, source_ip, window_start_ms, window_end_ms AS detected_ms FROM alerts ORDER BY window_end_ms", *ALERTS))
+def alerts_by_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = W.by_detection(alerts(spark, sf_dir))
+    return rows.select("alert_type", "source_ip", millis(F.col("window_start")).alias("window_start_ms"), millis(F.col("detected_at")).alias("detected_ms"))
+
+
 _TSV = "CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 7 = 0 THEN event_type || chr(9) || 'short' ELSE event_type || chr(9) || '10.0.0.' || user_id || chr(9) || '' || chr(9) || CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE (event_id % 100)::VARCHAR END || chr(9) || 'text' || chr(9) || 'more' END"
 
 
@@ -290,7 +296,8 @@ def _warehouse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _as_of(frame: DataFrame) -> Column:
-    return F.lit(frame.first()[0])
+    """The one value of a frame, as a subquery of the plan: nothing runs while a query is built."""
+    return frame.scalar()
 
 
 @query(
