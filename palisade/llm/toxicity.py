@@ -10,7 +10,7 @@ shuffle.
 
 Features that MIN_ROWS rows of the sample have take part, whether they depend on the label by themselves or not. The many rare terms
 are kept from learning single rows by heart by a proximal step: weights and factors shrink towards 0 at each update and are 0
-unless rows agree. Toxic rows count TOXIC_WEIGHT times in the fit, and the bias is set back by that and to the true class shares in the end.
+unless rows agree. Toxic rows that are fewer than the others count up to TOXIC_WEIGHT times in the fit; what the sample's bound has changed in the classes' shares is set back in the end.
 All parameters were set by cross-validation within the rows that aren't held out.
 
 Rows: a null or empty text has no features and gets the score of the bias; very long ones have the features of their whole text. Repeated rows get equal scores; of several
@@ -43,7 +43,7 @@ PREFIXES = (4, 5)
 MIN_ROWS, TOXIC_WEIGHT = 5, 2.0
 FACTORS, EPOCHS, RATE, FACTOR_RATE, BATCH, SEED = 8, 14, 0.1, 0.06, 128, 11
 #: How far weights and factors shrink, in units of a gradient; how far factors spread at first.
-SHRINK, FACTOR_SHRINK, SPREAD = 0.04, 0.12, 0.04
+SHRINK, FACTOR_SHRINK, SPREAD = 0.04, 0.1, 0.05
 
 _FOLD = bytes(0x20 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 
@@ -110,6 +110,8 @@ def fitted(flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray) -> Machine:
     bias = float(np.log(share / (1 - share)))
     seen_w, seen_v = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2)
 
+    heavy = min(TOXIC_WEIGHT, max(1.0, (1 - share) / share))
+
     def shrunk(x: np.ndarray, by: np.ndarray) -> np.ndarray:
         return np.sign(x) * np.maximum(np.abs(x) - by, 0)
 
@@ -121,7 +123,7 @@ def fitted(flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray) -> Machine:
             at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts[part], sizes)
             features = flat[at]
             z, sums = _logits(bias, weight, factors, features, local, len(part))
-            error = (_sigmoid(z) - y[part]) * np.where(y[part] > 0, TOXIC_WEIGHT, 1) / len(part) * 16
+            error = (_sigmoid(z) - y[part]) * np.where(y[part] > 0, heavy, 1) / len(part) * 16
             hit, back = np.unique(features, return_inverse=True)
             e = error[local]
             g = np.bincount(back, e, len(hit))
@@ -133,7 +135,7 @@ def fitted(flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray) -> Machine:
             weight[hit] = shrunk(weight[hit] - step * g, step * SHRINK)
             factors[hit] = shrunk(factors[hit] - step_v * gv, step_v * FACTOR_SHRINK)
             bias -= RATE / 8 * error.sum()
-    return Machine(bias - float(np.log(TOXIC_WEIGHT)), row, weight, factors)
+    return Machine(bias, row, weight, factors)
 
 
 def held_out(doc_id: Column) -> Column:
