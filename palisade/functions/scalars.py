@@ -35,8 +35,10 @@ def once(column: Column, f) -> Column:  # noqa: ANN001
     return F.element_at(F.transform(F.array(column), f), 1)
 
 
-def z_score(mean: Column, baseline_mean: float, baseline_std: float) -> Column:
-    return (mean - F.lit(baseline_mean)) / F.lit(baseline_std) if baseline_std > 0 else F.lit(0.0)
+def z_score(mean: Column, baseline_mean: Column | float, baseline_std: Column | float) -> Column:
+    """0 without a spread."""
+    std = F.lit(baseline_std)
+    return F.when(std > 0, (mean - F.lit(baseline_mean)) / std).otherwise(0.0)
 
 
 def capped(score: Column) -> Column:

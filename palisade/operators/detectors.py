@@ -118,13 +118,18 @@ def dns_windows(events: DataFrame, model: DnsModel = DnsModel()) -> DataFrame:
     return rows.groupBy("source_ip", "window_ms").agg(F.count("*").alias("queries"), F.avg("entropy").alias("mean_entropy"), last)
 
 
-def dns_alerts(windows: DataFrame, model: DnsModel = DnsModel()) -> DataFrame:  # noqa: B008
-    z = z_score(F.col("mean_entropy"), model.baseline_mean, model.baseline_std)
-    hit = windows.filter(F.col("queries") >= model.min_queries).withColumn("z", z).filter(F.col("z") >= model.z_threshold)
+def dns_alerts(windows: DataFrame, model: DnsModel = DnsModel(), baseline: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """baseline: one row (baseline_mean, baseline_std) instead of the model's, as ``training.trained`` gives it."""
+    if baseline is None:
+        based = windows.withColumns({"baseline_mean": F.lit(model.baseline_mean), "baseline_std": F.lit(model.baseline_std)})
+    else:
+        based = windows.crossJoin(F.broadcast(baseline))  # one row
+    z = z_score(F.col("mean_entropy"), F.col("baseline_mean"), F.col("baseline_std"))
+    hit = based.filter(F.col("queries") >= model.min_queries).withColumn("z", z).filter(F.col("z") >= model.z_threshold)
     end = from_millis(F.col("window_ms") + model.window_ms)
     said = F.format_string(
-        f"%d DNS queries from %s, mean subdomain entropy %.2f bits/char (baseline {model.baseline_mean:.2f} +/- {model.baseline_std:.2f}, z-score %.2f, threshold {model.z_threshold:.2f}). Example query: %s",
-        "queries", "source_ip", "mean_entropy", "z", "last_query",
+        f"%d DNS queries from %s, mean subdomain entropy %.2f bits/char (baseline %.2f +/- %.2f, z-score %.2f, threshold {model.z_threshold:.2f}). Example query: %s",
+        "queries", "source_ip", "mean_entropy", "baseline_mean", "baseline_std", "z", "last_query",
     )
     return hit.select(
         *alert(

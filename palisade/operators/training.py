@@ -24,6 +24,14 @@ def baseline(queries: DataFrame) -> DataFrame:
     return off.groupBy("queries", "median", "mean").agg((F.percentile(F.abs(F.col("entropy") - F.col("median")), 0.5, F.col("n")) * MAD_SCALE).alias("mad_std"))
 
 
+def trained(queries: DataFrame) -> DataFrame:
+    """The baseline as one row (baseline_mean, baseline_std) of the plan, rounded as a model file has it. Too few queries are an error
+    when it runs; of an empty corpus there is no row."""
+    few = F.raise_error(F.format_string(f"the corpus has %d queries; {LEAST_QUERIES} are needed", "queries")).cast("double")
+    enough = F.col("queries") >= LEAST_QUERIES
+    return baseline(queries).select(F.when(enough, F.round("median", 4)).otherwise(few).alias("baseline_mean"), F.round("mad_std", 4).alias("baseline_std"))
+
+
 def train(queries: DataFrame, z_threshold: float = 2.0, min_queries: int = 8, window_ms: int = 60_000) -> DnsModel:
     row = baseline(queries).first()
     if row is None or row["queries"] < LEAST_QUERIES:

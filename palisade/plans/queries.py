@@ -1,4 +1,7 @@
-"""The registered queries, over the synthetic feed made from the driver's events; times are epoch milliseconds and scores are rounded."""
+"""The registered queries, over the synthetic feed made from the driver's events; times are epoch milliseconds and scores are rounded.
+
+Parsing reads the feed itself. It is decoded once into a table of events by month, which the detectors and analysts' queries read, and
+their alerts once into a table of alerts; ``stream_`` queries read what the streaming job has made of the feed."""
 
 from __future__ import annotations
 
@@ -6,12 +9,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from palisade.config import DnsModel
+from palisade.config import DnsModel, Job
 from palisade.functions.scalars import average_subdomain_entropy, from_millis, millis, shannon_entropy, shortened
 from palisade.operators import detectors, parse, report, training
 from palisade.plans import oracle as O
+from palisade.plans import store
 from palisade.plans import warehouse as W
+from palisade.schemas import ALERT, ROLLUP
 from palisade.sources import files, synth
 from palisade.workers import spread
 
@@ -36,10 +42,29 @@ def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.decoded(feed(spark, sf_dir), year=synth.YEAR)
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.events(decoded(spark, sf_dir))
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored events, ingested up to 90 s after they happen."""
+
+    def write(path: str) -> None:
+        late = F.pmod(millis(F.col("event_time")).bitwiseXOR(F.lit(21845)), F.lit(90_000))
+        W.write_events(parsed(spark, sf_dir), path, from_millis(millis(F.col("event_time")) + late), action=True)
+
+    return W.read_events(spark, store.built(spark, "events", f"{sf_dir}/events.parquet", write), action=True)
+
+
+def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.all_alerts(events(spark, sf_dir))
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored alerts."""
+    return W.read_alerts(spark, store.built(spark, "alerts", f"{sf_dir}/events.parquet", lambda path: W.write_alerts(detected(spark, sf_dir), path)))
+
+
 def r6(c: str | Column) -> Column:
     return F.round(c, 6)
 
@@ -71,7 +96,7 @@ def synthetic_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parsed(kind: str, columns: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = events(spark, sf_dir).filter(F.col("source_type") == kind).withColumn("event_ms", millis(F.col("event_time")))
+        e = parsed(spark, sf_dir).filter(F.col("source_type") == kind).withColumn("event_ms", millis(F.col("event_time")))
         return e.select(*columns.split(", "))
 
     run.__name__ = f"parse_{kind}"
@@ -85,7 +110,7 @@ _parsed("firewall", "event_ms, source_ip, dest_ip, dest_port, action, host")
 
 @query(O.query('SELECT source_type, event_ms, source_ip, dest_ip, dest_port, action, "user", auth_success, dns_query, host, raw FROM ev', *EVENTS))
 def parse_dispatch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
+    e = parsed(spark, sf_dir)
     return e.withColumn("event_ms", millis(F.col("event_time"))).drop("event_time")
 
 
@@ -179,8 +204,7 @@ def dns_alerts_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(O.query(f"SELECT {ALERT_COLUMNS} FROM da", *WINDOWS, O.BASELINE, O.dns_alerts("(SELECT round(median, 4) FROM base_model)", "(SELECT round(mad_std, 4) FROM base_model)")))
 def dns_alerts_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    model = training.train(e.filter("source_type = 'dns'"))
-    return told(detectors.dns_alerts(detectors.dns_windows(e, model), model))
+    return told(detectors.dns_alerts(detectors.dns_windows(e), baseline=training.trained(e.filter("source_type = 'dns'"))))
 
 
 @query(O.query("SELECT queries, round(median, 6) AS median, round(mad_std, 6) AS mad_std, round(mean, 6) AS mean FROM base_model", *NAMES, O.BASELINE))
@@ -192,13 +216,10 @@ def dns_model_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Alerts together
 
 
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.all_alerts(events(spark, sf_dir))
-
-
 @query(O.query(f"SELECT {ALERT_COLUMNS} FROM alerts", *ALERTS))
 def alert_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return told(alerts(spark, sf_dir))
+    """The detectors themselves; the queries below read their stored alerts."""
+    return told(detected(spark, sf_dir))
 
 
 @query(
@@ -288,10 +309,8 @@ _AS_OF = "present AS (SELECT max(event_ms) AS now FROM ev)"
 
 
 def _warehouse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Events, ingested up to 90 s after they happen, and one row with as_of."""
+    """The stored events, and one row with as_of."""
     e = events(spark, sf_dir)
-    late = F.pmod(millis(F.col("event_time")).bitwiseXOR(F.lit(21845)), F.lit(90_000))
-    e = e.withColumn("ingested_at", from_millis(millis(F.col("event_time")) + late))
     return e, e.agg(F.max("event_time").alias("as_of"))
 
 
@@ -309,8 +328,8 @@ def _as_of(frame: DataFrame) -> Column:
     )
 )
 def q1_noisy_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, now = _warehouse(spark, sf_dir)
-    got = W.noisy_sources(detectors.all_alerts(e).withColumn("score", r6("score")), _as_of(now))
+    _, now = _warehouse(spark, sf_dir)
+    got = W.noisy_sources(alerts(spark, sf_dir).withColumn("score", r6("score")), _as_of(now))
     return got.select("source_ip", "alert_type", "alert_count", "max_score", millis(F.col("first_seen")).alias("first_ms"), millis(F.col("last_seen")).alias("last_ms"))
 
 
@@ -375,9 +394,8 @@ def rollup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def q5_weekly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, now = _warehouse(spark, sf_dir)
-    partials = W.rollup_partials(detectors.all_alerts(e).withColumn("score", r6("score")))
-    return W.weekly_rollup(partials, _as_of(now)).select(millis(F.col("hour")).alias("hour_ms"), "alert_type", "alerts", "peak_score")
+    _, now = _warehouse(spark, sf_dir)
+    return W.weekly_rollup(_partials(spark, sf_dir), _as_of(now)).select(millis(F.col("hour")).alias("hour_ms"), "alert_type", "alerts", "peak_score")
 
 
 _INGESTED = "ing AS (SELECT source_type, event_ms, event_ms + xor(event_ms, 21845) % 90000 AS ing_ms FROM ev)"
@@ -447,6 +465,94 @@ def subdomain_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", r6(average_subdomain_entropy(name)).alias("entropy"))
 
 
+# The streaming job over the same feed, in batches
+
+_CLOSING = "end"  # the host of an event a day after the others, which lets the watermark pass them
+_CHUNKS, _FILES = 4, 8
+
+
+def _arrived(spark: SparkSession, sf_dir: str) -> str:
+    """The feed as files, in order of arrival: chunks one after the other, so that their times tell the order."""
+
+    def write(path: str) -> None:
+        rows = feed(spark, sf_dir)
+        first, last = rows.agg(F.min("seq"), F.max("seq")).first()
+        if first is None:
+            return rows.select("value").write.text(path)
+        step = (last - first) // _CHUNKS + 1
+        for i in range(_CHUNKS):
+            own = rows.filter(F.col("seq").between(first + i * step, first + (i + 1) * step - 1))
+            own.select("value").repartition(_FILES).write.mode("append").text(path)
+        at = f"date_format(timestamp'{synth.START}' + make_interval(0, 0, 0, 1, 0, 0, {last // 4}), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+        line = f"concat({at}, ' DENY TCP src=10.0.0.1 dst=10.0.0.2 dport=1')"
+        spark.range(1).selectExpr(f"""to_json(named_struct('source_type', 'firewall', 'host', '{_CLOSING}', 'received_at', '', 'raw', {line})) AS value""").write.mode("append").text(path)
+
+    return store.built(spark, "arrived", f"{sf_dir}/events.parquet", write)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of what the job writes."""
+
+    def write(path: str) -> None:
+        from palisade.streaming import pipeline
+
+        job = Job(source=_arrived(spark, sf_dir), events_out=f"{path}/events", alerts_out=f"{path}/alerts", rollup_out=f"{path}/rollup", dead_letters_out=f"{path}/dead", checkpoint=f"{path}/checkpoint", max_files_per_trigger=_FILES)
+        _finished(pipeline.start(spark, job, year=synth.YEAR, available_now=True))
+
+    return store.built(spark, "streamed", f"{sf_dir}/events.parquet", write)
+
+
+def _finished(q: StreamingQuery) -> None:
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+
+
+@query(O.query('SELECT source_type, event_ms, source_ip, dest_ip, dest_port, "user", auth_success, dns_query, host, raw FROM ev', *EVENTS))
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = W.read_events(spark, f"{_streamed(spark, sf_dir)}/events").filter(F.col("host") != _CLOSING)
+    return e.withColumn("event_ms", millis(F.col("event_time"))).drop("event_time", "ingested_at", "event_month")
+
+
+@query(O.query(f"SELECT {ALERT_COLUMNS} FROM alerts", *ALERTS))
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return told(W.read_alerts(spark, f"{_streamed(spark, sf_dir)}/alerts"))
+
+
+@query(O.query("SELECT alert_type, window_start_ms, source_ip, dest_ip FROM alerts", *ALERTS))
+def stream_alert_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = spark.read.schema("value STRING").text(f"{_streamed(spark, sf_dir)}/alerts_json")
+    get = lambda k: F.get_json_object("value", f"$.{k}")
+    return j.select(get("alertType").alias("alert_type"), get("windowStartMillis").cast("long").alias("window_start_ms"), get("sourceIp").alias("source_ip"), get("destIp").alias("dest_ip"))
+
+
+@query(O.query("SELECT message FROM dead", *EVENTS))
+def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema("value STRING").text(f"{_streamed(spark, sf_dir)}/dead").select(F.col("value").alias("message"))
+
+
+@query(O.query("SELECT alert_type, source_ip, count(*) AS alerts, max(score) AS peak_score FROM alerts GROUP BY ALL", *ALERTS))
+def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partials of all batches, merged; hours are those of the job's clock."""
+    partials = spark.read.schema(ROLLUP).parquet(f"{_streamed(spark, sf_dir)}/rollup")
+    return W.rollup_merged(partials, "alert_type", "source_ip").withColumn("peak_score", r6("peak_score"))
+
+
+@query(O.query(f"SELECT {ALERT_COLUMNS} FROM la", *LOGINS))
+def stream_failed_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detector 1 as Spark's own window aggregate with a watermark."""
+
+    def write(path: str) -> None:
+        from palisade.streaming import pipeline
+
+        pipeline.configure(spark)
+        d = parse.decoded(files.feed(spark, _arrived(spark, sf_dir), _FILES), year=synth.YEAR)
+        out = pipeline.failed_logins(parse.events(d)).writeStream.format("parquet").outputMode("append")
+        _finished(out.option("path", f"{path}/alerts").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+
+    return told(spark.read.schema(ALERT).parquet(f"{store.built(spark, 'windows', f'{sf_dir}/events.parquet', write)}/alerts"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in _found.items()}
 

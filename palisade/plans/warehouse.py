@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.functions.scalars import bucket, from_millis, seconds_between
+from palisade.schemas import ALERT, EVENT
 
 # Retention in days, and the text kept of a raw line by the compact layout.
 EVENT_DAYS, ALERT_DAYS = 90, 365
@@ -18,9 +19,13 @@ def month(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMM")
 
 
-def write_events(events: DataFrame, path: str, ingested_at: Column | None = None, mode: str = "append") -> None:
-    """Events by month, sorted so that Parquet's statistics skip other types, sources and times; action isn't kept."""
-    rows = events.drop("action").withColumn("ingested_at", F.current_timestamp() if ingested_at is None else ingested_at).withColumn("event_month", month(F.col("event_time")))
+#: The column that partitions a table, by the time it is the month of.
+MONTHS = {"event_time": "event_month", "detected_at": "alert_month"}
+
+
+def write_events(events: DataFrame, path: str, ingested_at: Column | None = None, mode: str = "append", action: bool = False) -> None:
+    """Events by month, sorted so that Parquet's statistics skip other types, sources and times; action is kept if asked for."""
+    rows = (events if action else events.drop("action")).withColumn("ingested_at", F.current_timestamp() if ingested_at is None else ingested_at).withColumn("event_month", month(F.col("event_time")))
     rows.sortWithinPartitions("event_month", "source_type", "source_ip", "event_time").write.mode(mode).partitionBy("event_month").parquet(path)
 
 
@@ -29,6 +34,17 @@ def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
     rows.sortWithinPartitions("alert_month", "alert_type", "source_ip", "detected_at").write.mode(mode).partitionBy("alert_month").parquet(path)
 
 
+def read_events(spark: SparkSession, path: str, action: bool = False) -> DataFrame:
+    """A table of events; without any, it is empty."""
+    own = ", ".join(c for c in EVENT.split(", ") if action or c.split()[0] != "action")
+    return spark.read.schema(f"{own}, ingested_at TIMESTAMP, event_month STRING").parquet(path).drop("batch_id")
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """A table of alerts; without any, it is empty."""
+    return spark.read.schema(f"{ALERT}, alert_id STRING, alert_month STRING").parquet(path).drop("batch_id")
+
+
 def write_compact(events: DataFrame, path: str, host: str = "local", mode: str = "append") -> None:
     """The small layout: one host, raw lines cut, a day column."""
     events.drop("action").withColumn("raw", F.substring("raw", 1, RAW_CHARS)).withColumn("host", F.lit(host)).withColumn("event_date", F.to_date("event_time")).write.mode(mode).partitionBy("event_date").parquet(path)
@@ -36,7 +52,7 @@ def write_compact(events: DataFrame, path: str, host: str = "local", mode: str =
 
 def between(table: DataFrame, column: str, first: datetime, last: datetime | None = None) -> DataFrame:
     """Rows from a time on, up to another; the month column is filtered, too, so that partitions are pruned."""
-    part = {"event_time": "event_month", "detected_at": "alert_month"}.get(column)
+    part = MONTHS.get(column)
     out = table.filter(F.col(column) >= F.lit(first))
     if part in table.columns:
         out = out.filter(F.col(part) >= first.strftime("%Y%m"))
@@ -46,6 +62,13 @@ def between(table: DataFrame, column: str, first: datetime, last: datetime | Non
     return out
 
 
+def since(table: DataFrame, column: str, first: Column) -> DataFrame:
+    """Rows from a time on that the plan itself works out; of a table by months, those before aren't read."""
+    out = table.filter(F.col(column) >= first)
+    part = MONTHS.get(column)
+    return out.filter(F.col(part) >= month(first)) if part in table.columns else out
+
+
 def unexpired(table: DataFrame, column: str, as_of: Column, days: int) -> DataFrame:
     """Rows that retention keeps; the column stands by itself, so that the filter can reach the scan."""
     return table.filter(F.col(column) > as_of - F.expr(f"INTERVAL {days} DAYS"))
@@ -83,13 +106,13 @@ def rollup_merged(partials: DataFrame, *keys: str) -> DataFrame:
 
 
 def noisy_sources(alerts: DataFrame, as_of: Column, n: int = 20) -> DataFrame:
-    own = alerts.filter(F.col("detected_at") >= as_of - F.expr("INTERVAL 1 DAY"))
+    own = since(alerts, "detected_at", as_of - F.expr("INTERVAL 1 DAY"))
     got = own.groupBy("source_ip", "alert_type").agg(F.count("*").alias("alert_count"), F.max("score").alias("max_score"), F.min("detected_at").alias("first_seen"), F.max("detected_at").alias("last_seen"))
     return got.orderBy(F.desc("alert_count"), "source_ip", "alert_type").limit(n)
 
 
 def logins_over_time(events: DataFrame, source_ip: str, as_of: Column) -> DataFrame:
-    own = events.filter((F.col("source_type") == "auth") & (F.col("source_ip") == source_ip) & (F.col("event_time") >= as_of - F.expr("INTERVAL 6 HOURS")))
+    own = since(events, "event_time", as_of - F.expr("INTERVAL 6 HOURS")).filter((F.col("source_type") == "auth") & (F.col("source_ip") == source_ip))
     return own.groupBy(from_millis(bucket(F.col("event_time"), 300_000)).alias("bucket")).agg(F.count_if(~F.col("auth_success")).alias("failed"), F.count_if("auth_success").alias("succeeded")).orderBy("bucket")
 
 
@@ -99,7 +122,7 @@ def channel(events: DataFrame, source_ip: str, dest_ip: str, n: int = 200) -> Da
 
 
 def dns_volume(events: DataFrame, as_of: Column, n: int = 20) -> DataFrame:
-    own = events.filter((F.col("source_type") == "dns") & (F.col("event_time") >= as_of - F.expr("INTERVAL 1 HOUR")))
+    own = since(events, "event_time", as_of - F.expr("INTERVAL 1 HOUR")).filter("source_type = 'dns'")
     got = own.groupBy("source_ip").agg(F.count("*").alias("query_count"), F.countDistinct("dns_query").alias("distinct_queries"), F.bround(F.avg(F.octet_length("dns_query")), 1).alias("avg_query_len"))
     return got.orderBy(F.desc("query_count"), "source_ip").limit(n)
 

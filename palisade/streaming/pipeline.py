@@ -14,7 +14,8 @@ from palisade.config import DnsModel, Job, LoginRule
 from palisade.functions.scalars import average_subdomain_entropy, capped
 from palisade.operators import parse
 from palisade.operators.detectors import alert, alert_json
-from palisade.plans.warehouse import rollup_partials
+from palisade.plans.store import remove
+from palisade.plans.warehouse import MONTHS, month, rollup_partials
 from palisade.schemas import ALERT, EVENT, names
 from palisade.sources import files
 from palisade.streaming.processors import KEY, WATCHED, WRITTEN, Detectors
@@ -76,18 +77,26 @@ def routed(feed: DataFrame, job: Job, year: int | None = None) -> DataFrame:
     return plain.unionByName(found.select("kind", none(EVENT).alias("event"), F.when(F.col("kind") == "alert", al).alias("alert"), "message"))
 
 
+def by_month(rows: DataFrame, path: str, time: str, number: int) -> None:
+    """A batch's rows below their months (as the warehouse's readers and its ``expire`` take them) and batch_id=...; what an earlier try
+    of the batch has left goes first, in whatever month, so that each row counts once."""
+    part = MONTHS[time]
+    remove(rows.sparkSession, f"{path}/{part}=*/batch_id={number}")
+    rows.withColumn(part, month(F.col(time))).withColumn("batch_id", F.lit(number)).write.mode("append").partitionBy(part, "batch_id").parquet(path)
+
+
 def sink(job: Job) -> Callable[[DataFrame, int], None]:
-    """Writes a batch below batch_id=..., replacing what an earlier try of the same batch has left: each row counts once."""
+    """Writes a batch, replacing what an earlier try of the same batch has left."""
 
     def write(batch: DataFrame, number: int) -> None:
         rows = batch.persist()
         try:
             to = lambda path: f"{path}/batch_id={number}"
             if job.events_out:
-                rows.filter("kind = 'event'").select("event.*").drop("action").withColumn("ingested_at", F.current_timestamp()).write.mode("overwrite").parquet(to(job.events_out))
+                by_month(rows.filter("kind = 'event'").select("event.*").drop("action").withColumn("ingested_at", F.current_timestamp()), job.events_out, "event_time", number)
             alerts = rows.filter("kind = 'alert'").select("alert.*")
             if job.alerts_out:
-                alerts.withColumn("alert_id", F.expr("uuid()")).write.mode("overwrite").parquet(to(job.alerts_out))
+                by_month(alerts.withColumn("alert_id", F.expr("uuid()")), job.alerts_out, "detected_at", number)
                 alert_json(alerts).write.mode("overwrite").text(to(f"{job.alerts_out}_json"))
             if job.rollup_out:
                 rollup_partials(alerts).write.mode("overwrite").parquet(to(job.rollup_out))

@@ -1,10 +1,12 @@
 import json
 import os
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from palisade.config import Job
 from palisade.operators import detectors, parse
+from palisade.plans import warehouse
 from palisade.sources import synth
 from palisade.streaming import pipeline
 from tests.compare import TABLES
@@ -43,7 +45,7 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     run(spark, job(tmp_path), metrics)
     d = parse.decoded(feed, year=synth.YEAR)
     columns = ["alert_type", "window_start", "window_end", "source_type", "source_ip", "dest_ip", "details"]
-    got = spark.read.parquet(f"{tmp_path}/al")
+    got = warehouse.read_alerts(spark, f"{tmp_path}/al")
     expected = detectors.all_alerts(parse.events(d))
     key = lambda df: sorted((repr(tuple(r[:-1])), round(r[-1], 9)) for r in df.select(*columns, "score").collect())
     assert key(got) == key(expected)
@@ -74,7 +76,20 @@ def test_late_events_go_to_dead_letters(spark, tmp_path):
     run(spark, job(tmp_path))
     late = [r.value for r in spark.read.text(f"{tmp_path}/dl").collect()]
     assert sorted(x.split(" sshd")[0] for x in late) == [f"late_auth_event: Jan  1 00:{t}" for t in ("00:05", "06:40")]
-    assert spark.read.parquet(f"{tmp_path}/al").count() == 0
+    assert warehouse.read_alerts(spark, f"{tmp_path}/al").count() == 0
+
+
+def test_what_the_job_writes_expires_by_month(spark, tmp_path):
+    path = str(tmp_path / "ev")
+    rows = spark.sql("SELECT timestamp_millis(1704067200000 + id * 86400000) AS event_time, id FROM range(70)")
+    for number in (0, 0, 1):  # batch 0 is tried twice
+        pipeline.by_month(rows.filter(f"id % 2 = {number}"), path, "event_time", number)
+    assert spark.read.parquet(path).count() == 70
+    found = warehouse.between(spark.read.parquet(path), "event_time", datetime(2024, 3, 1))
+    assert found.count() == 10
+    assert "PartitionFilters: [isnotnull(event_month" in found._jdf.queryExecution().executedPlan().toString()
+    assert warehouse.expire(spark, path, "event_month", datetime(2024, 5, 15), 90) == ["202401"]
+    assert spark.read.parquet(path).count() == 39
 
 
 def test_built_in_window_aggregate(spark, tmp_path):
