@@ -18,7 +18,7 @@ from palisade.plans.store import remove
 from palisade.plans.warehouse import MONTHS, month, rollup_partials
 from palisade.schemas import ALERT, EVENT, names
 from palisade.sources import files
-from palisade.streaming.processors import KEY, WATCHED, WRITTEN, Detectors
+from palisade.streaming.processors import KEY, PACKED, WATCHED, WRITTEN, Detectors, packed
 from palisade.workers import findable
 
 STATE = {
@@ -40,7 +40,9 @@ def watched(events: DataFrame, delay: str = "30 seconds") -> DataFrame:
     ms = F.unix_millis("event_time")
     detector = F.when(F.col("source_type") == "auth", "login").when((F.col("source_type") == "dns") & F.col("dns_query").isNotNull(), "dns").when((F.col("source_type") == "firewall") & (F.upper("action") == "ALLOW"), "beacon")
     columns = {"detector": detector, "dest_ip": F.when(detector == "beacon", F.col("dest_ip")).otherwise(F.lit("")), "event_ms": ms}
-    columns |= {"entropy": F.when(detector == "dns", average_subdomain_entropy(F.col("dns_query")))}
+    failed = F.coalesce(~F.col("auth_success"), F.lit(False)).cast("double")
+    columns |= {"value": F.when(detector == "login", failed).when(detector == "dns", average_subdomain_entropy(F.col("dns_query"))).otherwise(0.0)}
+    columns |= {"detail": F.when(detector == "login", F.col("raw")).when(detector == "dns", F.col("dns_query"))}
     rows = marked.select(*(columns.get(n, F.col(n)).alias(n) for n in names(WATCHED)))
     # one condition with the time in it: a filter on other columns would move below the watermark
     return rows.filter("CASE WHEN event_ms IS NOT NULL THEN detector IS NOT NULL ELSE false END")
@@ -49,7 +51,7 @@ def watched(events: DataFrame, delay: str = "30 seconds") -> DataFrame:
 def detected(events: DataFrame, detectors: Detectors | None = None, delay: str = "30 seconds") -> DataFrame:
     """Alerts and late auth events (WRITTEN) of a stream of events."""
     findable(events.sparkSession)
-    rows = watched(events, delay).groupBy(*KEY)
+    rows = watched(events, delay).mapInArrow(packed, PACKED).groupBy(*KEY)
     return rows.transformWithState(statefulProcessor=detectors or Detectors(), outputStructType=WRITTEN, outputMode="Append", timeMode="EventTime")
 
 
