@@ -33,9 +33,12 @@ def query(sql: str | None) -> Callable[[Query], Query]:
     return add
 
 
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
-    return synth.raw_feed(spread(rows))
+    return synth.raw_feed(spread(_rows(spark, sf_dir)))
 
 
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -475,13 +478,16 @@ def _arrived(spark: SparkSession, sf_dir: str) -> str:
     """The feed as files, in order of arrival: chunks one after the other, so that their times tell the order."""
 
     def write(path: str) -> None:
-        rows = feed(spark, sf_dir)
-        first, last = rows.agg(F.min("seq"), F.max("seq")).first()
+        rows = _rows(spark, sf_dir)
+        first, last = rows.agg(F.min("event_id"), F.max("event_id")).first()
         if first is None:
-            return rows.select("value").write.text(path)
+            return synth.raw_feed(rows).select("value").write.text(path)
+        ends = synth.raw_feed(rows.filter(F.col("event_id").isin(first, last))).agg(F.min("seq"), F.max("seq"))
+        first, last = ends.first()
         step = (last - first) // _CHUNKS + 1
         for i in range(_CHUNKS):
-            own = rows.filter(F.col("seq").between(first + i * step, first + (i + 1) * step - 1))
+            a, b = first + i * step, first + (i + 1) * step - 1
+            own = synth.raw_feed(spread(rows.filter(F.col("event_id").between(a // synth.EACH, b // synth.EACH)))).filter(F.col("seq").between(a, b))
             own.select("value").repartition(_FILES).write.mode("append").text(path)
         at = f"date_format(timestamp'{synth.START}' + make_interval(0, 0, 0, 1, 0, 0, {last // 4}), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
         line = f"concat({at}, ' DENY TCP src=10.0.0.1 dst=10.0.0.2 dport=1')"

@@ -15,6 +15,8 @@ DOMAINS = ("example.com", "internal.corp", "api.example.com", "cdn.example.net",
 
 START = "2024-01-01 00:00:00"
 YEAR = 2024
+#: An event's envelopes have the numbers from EACH times its own on.
+EACH = 4
 
 #: (kind, condition, milliseconds after the event's second, raw line) in SQL that Spark reads; {at} and {iso} are the times.
 _AUTH = "concat(date_format({at}, 'MMM d HH:mm:ss'), ' sshd[', 1000 + e % 9000, ']: ', if({fail}, 'Failed password', 'Accepted publickey'), ' for ', {user}, ' from ', {ip}, ' port ', 20000 + e % 40000, ' ssh2')"
@@ -48,7 +50,7 @@ def raw_feed(events: DataFrame) -> DataFrame:
         ELSE concat('{{"source_type":"', if(x.k = 0 AND e % 103 = 0, 'http', x.kind), '","host":"h', u % 4, '","received_at":"',
                     {iso.format(at="t + make_interval(0, 0, 0, 0, 0, 0, 1.5)")}, '","raw":"', if(x.k = 0 AND e % 101 = 0, concat('garbage ', e), x.raw), '"}}') END"""
     numbered = events.selectExpr("event_id AS e", "user_id AS u").selectExpr("e", "u", f"{t} AS t")
-    return numbered.selectExpr("e", "u", "t", f"explode(array({structs})) AS x").filter("x.ok").selectExpr("e * 4 + x.k AS seq", f"{envelope} AS value")
+    return numbered.selectExpr("e", "u", "t", f"explode(array({structs})) AS x").filter("x.ok").selectExpr(f"e * {EACH} + x.k AS seq", f"{envelope} AS value")
 
 
 def generated(spark: SparkSession, rows: int, users: int = 15) -> DataFrame:
