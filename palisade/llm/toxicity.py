@@ -20,7 +20,7 @@ score is the share of toxic labels, or 0 without any. An empty table gives an em
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from itertools import chain
 from zlib import crc32
@@ -41,6 +41,8 @@ SLOTS = 1 << 20
 #: Lengths of the beginnings of terms that are features too.
 PREFIXES = (4, 5)
 MIN_ROWS, TOXIC_WEIGHT = 5, 2.0
+#: Features that are scored at once; a text with more is scored by itself.
+SCORED = 100_000
 FACTORS, EPOCHS, RATE, FACTOR_RATE, BATCH, SEED = 8, 14, 0.1, 0.06, 128, 11
 #: How far weights and factors shrink, in units of a gradient; how far factors spread at first.
 SHRINK, FACTOR_SHRINK, SPREAD = 0.04, 0.1, 0.05
@@ -75,6 +77,20 @@ class Machine:
         return _sigmoid(_logits(self.bias, self.weight, self.factors, flat, of, len(rows))[0])
 
 
+def pieces(texts: Iterable[str | None]) -> Iterator[list[list[int]]]:
+    """The features of texts, in order, of so many texts at once as have SCORED features."""
+    rows: list[list[int]] = []
+    held = 0
+    for text in texts:
+        rows.append(hashed(text))
+        held += len(rows[-1])
+        if held >= SCORED:
+            yield rows
+            rows, held = [], 0
+    if rows:
+        yield rows
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -146,7 +162,8 @@ def _features() -> callable:
     @F.arrow_udf("array<int>")
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([sorted(hashed(t)) for t in batch.to_pylist()], pa.list_(pa.int32()))
+            parts = [pa.array([sorted(r) for r in rows], pa.list_(pa.int32())) for rows in pieces(x.as_py() for x in batch)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return features
 
@@ -193,6 +210,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(sent.value.scores([hashed(t) for t in batch.to_pylist()]), pa.float64())
+            parts = [sent.value.scores(rows) for rows in pieces(x.as_py() for x in batch)]
+            yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
     return docs.withColumn("__score", score(F.col("text")))
