@@ -31,6 +31,8 @@ from palisade.llm.suffixes import Block, reaches
 
 WINDOW, GRAM = 35, 10
 WORDS = Symbols(WINDOW, GRAM, by_word=True)
+#: Texts whose spans are Python objects at once.
+AT_ONCE = 200
 
 
 def factored(found: list[dict] | None, window: int = WINDOW, boundaries: bool = True) -> list[dict]:
@@ -67,13 +69,25 @@ def factored(found: list[dict] | None, window: int = WINDOW, boundaries: bool =
     return out
 
 
-def factors(found: Column, window: int) -> Column:
-    kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ref", pa.int64()), ("ref_start", pa.int64())])
+FACTOR = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ref", pa.int64()), ("ref_start", pa.int64())])
+
+
+def values(column: pa.Array) -> Iterator:
+    """The values of a column, few of them at once."""
+    for a in range(0, len(column), AT_ONCE):
+        yield from column.slice(a, AT_ONCE).to_pylist()
+
 
+def factors_of(found: pa.Array, window: int) -> pa.Array:
+    parts = [pa.array([factored(x, window) or None for x in values(found.slice(a, AT_ONCE))], pa.list_(FACTOR)) for a in range(0, len(found), AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(FACTOR))
+
+
+def factors(found: Column, window: int) -> Column:
     @F.arrow_udf("array<struct<start: bigint, end: bigint, ref: bigint, ref_start: bigint>>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([factored(x, window) or None for x in batch.to_pylist()], pa.list_(kind))
+            yield factors_of(batch, window)
 
     return of(found)
 
@@ -119,7 +133,7 @@ def kept_text() -> Column:
     @F.arrow_udf("string")
     def kept(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for text, found in batches:
-            yield pa.array([b" ".join(cut(t, s)[1]).decode("utf-8", "surrogatepass") for t, s in zip(text.to_pylist(), found.to_pylist(), strict=True)], pa.string())
+            yield pa.array([b" ".join(cut(t, s)[1]).decode("utf-8", "surrogatepass") for t, s in zip(values(text), values(found), strict=True)], pa.string())
 
     return kept(F.col("text"), F.col("__spans"))
 
@@ -131,7 +145,7 @@ def digest() -> Column:
     def told(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, found in batches:
             rows = []
-            for t, s in zip(texts.to_pylist(), found.to_pylist(), strict=True):
+            for t, s in zip(values(texts), values(found), strict=True):
                 n, kept = cut(t, s)
                 rows.append({"n_words": n, "n_removed": n - len(kept), "kept_sha256": hashlib.sha256(b" ".join(kept)).hexdigest()})
             yield pa.array(rows, kind)
